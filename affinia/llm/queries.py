@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from affinia.llm.common import read
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.quality import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinia.llm.mixing import measured, rates
 
@@ -18,6 +25,29 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def model_bytes() -> bytes:
+    """The tokenizer's file; AFFINIA_PIECES names another one."""
+    path = os.environ.get("AFFINIA_PIECES")
+    if not path:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.pieces import digests
+
+    return digests(read(spark, sf_dir, "documents"), model_bytes())
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.language import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinia.llm.exact_dedup import exact_dedup
 
@@ -25,6 +55,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op7_pieces": op7_pieces,
+    "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
