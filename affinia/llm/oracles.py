@@ -28,4 +28,20 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
 SELECT doc_id, size, source_size, round(target, 3) AS target, size * copies AS taken, copies FROM c
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3, "op10_exact_dedup": OP10}
+# Base32 of a SHA-1: each five hexadecimal digits are four digits of base32.
+_B32 = """array_to_string(list_transform(range(0, 8), lambda k: array_to_string(list_transform(range(0, 4), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * k AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * j AS BIGINT)) & 31), 1)), '')), '')"""
+_HOST = "split_part(CASE WHEN contains(lower(url), '://') THEN substr(lower(url), strpos(lower(url), '://') + 3) ELSE lower(url) END, '/', 1)"
+_REST = "CASE WHEN contains(lower(url), '://') THEN substr(lower(url), strpos(lower(url), '://') + 3) ELSE lower(url) END"
+
+OP5 = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+     g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first, {_HOST} AS host, {_REST} AS rest FROM p)
+SELECT page_id, payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to,
+       array_to_string(list_reverse(string_split(regexp_replace(host, '^www\\.', ''), '.')), ',') || ')' || substr(rest, strlen(host) + 1) AS url_key,
+       1577836800 + page_id AS captured_at
+FROM g
+"""
+
+ORACLES: dict[str, str] = {"op3_mixing": OP3, "op5_warc": OP5, "op10_exact_dedup": OP10}

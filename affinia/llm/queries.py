@@ -25,6 +25,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.warc import archived
+
+    return archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def model_bytes() -> bytes:
     """The tokenizer's file; AFFINIA_PIECES names another one."""
     path = os.environ.get("AFFINIA_PIECES")
@@ -57,6 +63,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op5_warc": op5_warc,
     "op7_pieces": op7_pieces,
     "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
