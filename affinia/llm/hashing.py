@@ -92,7 +92,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
     A text with fewer words has its whole sequence as one shingle; without words it has none.
     """
-    odd = [U(2 * k + 1) * U(0xA0761D6478BD642F) | U(1) for k in range(max(width, 1))]
+    odd = [U(((2 * k + 1) * 0xA0761D6478BD642F | 1) & 0xFFFFFFFFFFFFFFFF) for k in range(width)]
     for _, data, at in chunks(column):
         data = LOWER[data]
         starts, ends, first = word_bounds(data, at)

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from affinia.llm.common import read
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.jaccard import join_components
+
+    return join_components(read(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinia.llm.quality import classify
 
@@ -31,6 +37,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
 
 
+def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.personal import find
+
+    found = find(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def model_bytes() -> bytes:
     """The tokenizer's file; AFFINIA_PIECES names another one."""
     path = os.environ.get("AFFINIA_PIECES")
@@ -61,9 +74,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard": op1_jaccard,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op5_warc": op5_warc,
+    "op6_personal": op6_personal,
     "op7_pieces": op7_pieces,
     "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
