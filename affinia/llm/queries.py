@@ -61,6 +61,12 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"), model_bytes())
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.fingerprints import fingerprints
+
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinia.llm.language import identify
 
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_personal": op6_personal,
     "op7_pieces": op7_pieces,
+    "op8_fingerprints": op8_fingerprints,
     "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
