@@ -31,6 +31,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.repeats import remove_repeats
+
+    done = remove_repeats(read(spark, sf_dir, "documents"), digest=True)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinia.llm.warc import archived
 
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
+    "op4_repeats": op4_repeats,
     "op5_warc": op5_warc,
     "op6_personal": op6_personal,
     "op7_pieces": op7_pieces,
