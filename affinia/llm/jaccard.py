@@ -7,8 +7,8 @@ lists aside: a partner must be in one of its other, short lists, and the long on
 1. Equal sets are one class; the rest works on classes.
 2. Across Spark, the short lists of a class are those of its n - T + 1 rarest shingles. Rarity is the
    level of a count over all documents, kept in a table of fixed size; any order gives all links, a good
-   order keeps the lists short. The members of each list are joined by edges to one of them; a
-   neighbourhood is a component of these edges. No link leaves a neighbourhood.
+   order keeps the lists short. In each list, by size, neighbours whose sizes allow a link are joined by
+   an edge; a neighbourhood is a component of these edges. No link leaves a neighbourhood.
 3. The sets of a neighbourhood meet in a task, which merges the short lists with a heap, probes the long
    ones by binary search and keeps partners that reach the overlap that their two sizes need. Pairs that
    are connected already are skipped, which loses no component. A large neighbourhood is cut into blocks,
@@ -113,13 +113,13 @@ def _levels(signed: DataFrame) -> np.ndarray:
 
 
 def _short_lists(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """token, h1: each class in the lists of its rarest shingles (once per task)."""
+    """token, h1, n: each class in the lists of its rarest shingles (once per task)."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, done = sent.value, set()
         for batch in batches:
-            found, owners, sizes = [], [], []
+            found, owners, sizes, counts = [], [], [], []
             for tokens in shingle_sets(batch.column(0), width):
                 n = len(tokens)
                 # Sets that can only link with equal ones are not in any list.
@@ -130,11 +130,13 @@ def _short_lists(docs: DataFrame, levels: np.ndarray, width: int, percent: int)
                     found.append(tokens[np.argpartition(order, short - 1)[:short]])
                     owners.append(h1)
                     sizes.append(short)
+                    counts.append(n)
             if found:
                 of = np.repeat(np.array(owners, np.int64), sizes)
-                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(of)], ["token", "h1"])
+                n = np.repeat(np.array(counts, np.int32), sizes)
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(of), pa.array(n)], ["token", "h1", "n"])
 
-    return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "token long, h1 long")
+    return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "token long, h1 long, n int")
 
 
 class Forest:
@@ -253,8 +255,10 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     signed = stored(_sign(docs, width), "signed")
     rows = signed.where("block IS NULL").select("doc_id", "n", "h1", "h2")
     lists = _short_lists(docs, _levels(signed), width, percent)
-    first = F.min("h1").over(Window.partitionBy("token"))
-    near = components(lists.select(first.alias("u"), F.col("h1").alias("v")))
+    # In a list by size, whoever can link is joined through the members between them, whose sizes are closer yet.
+    order = Window.partitionBy("token").orderBy("n", "h1")
+    before = lists.select(F.lag("h1").over(order).alias("u"), F.col("h1").alias("v"), F.lag("n").over(order).alias("less"), "n")
+    near = components(before.where(F.col("less") * 100 >= F.col("n") * percent).select("u", "v"))
 
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
