@@ -1,0 +1 @@
+"""Event logs as streams."""
