@@ -47,6 +47,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def id_of(df: DataFrame, name: str = "doc_id") -> Column:
+    """The column of ids as long. A column that is long already stays as it is: an alias more in one
+    branch of a plan than in another would keep Spark from using an exchange twice."""
+    return F.col(name) if dict(df.dtypes)[name] == "bigint" else F.col(name).cast("long").alias(name)
+
+
 def without_white(text: Column) -> Column:
     """text without its white space; a null text is empty."""
     out = F.coalesce(text, F.lit(""))

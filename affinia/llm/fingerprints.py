@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.common import ranked, stored
+from affinia.llm.common import id_of, ranked, stored
 
 #: Cells of a fingerprint, and of the sketches of each further try.
 CELLS = 24
@@ -142,9 +142,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Texts cross one shuffle, by id, which both joins use.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(id_of(docs), F.coalesce("text", F.lit("")).alias("text"))
     known = texts.where("doc_id IS NOT NULL")
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.char_length(F.coalesce("text", F.lit(""))).alias("n")).where("doc_id IS NOT NULL")
+    sizes = docs.select(id_of(docs), F.char_length(F.coalesce("text", F.lit(""))).alias("n")).where("doc_id IS NOT NULL")
     slim = stored(sizes.groupBy("doc_id").agg(F.max("n").alias("n")), "lengths")
     needs = stored(following(slim).join(slim, "doc_id").select(F.col("next_id").alias("src"), F.col("doc_id").alias("dst"), F.floor(F.col("n") / 4).cast("int").alias("need")), "needs")
     heads = known.join(needs, F.col("doc_id") == F.col("src")).select("dst", F.struct(F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"), digests(F.col("text")).alias("keys")).alias("next"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.common import shuffle_parts, stored
+from affinia.llm.common import id_of, shuffle_parts, stored
 from affinia.llm.hashing import U, buffers, chunks, mix, powers
 
 LENGTH, GRAM = 100, 32
@@ -343,7 +343,7 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     kept: the bytes that are left, or with digest their SHA-256 in hexadecimal, as text in UTF-8.
     """
     parts = shuffle_parts(docs.sparkSession)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), id_of(docs), F.coalesce("text", F.lit("")).alias("text"))
     marked = stored(_marked(_contexts(texts, parts), parts), "marked")
     wants = marked.where("key IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("start", "more", "key")).alias("wants"))
     dealt = texts.repartition("row")
