@@ -5,10 +5,11 @@ shingles of either set's n (the T-occurrence problem). DivideSkip sets a record'
 lists aside: a partner must be in one of its other, short lists, and the long ones are only probed.
 
 1. Equal sets are one class; the rest works on classes.
-2. Across Spark, the short lists of a class are those of its n - T + 1 rarest shingles. Rarity is the
-   level of a count over all documents, kept in a table of fixed size; any order gives all links, a good
-   order keeps the lists short. In each list, by size, neighbours whose sizes allow a link are joined by
-   an edge; a neighbourhood is a component of these edges. No link leaves a neighbourhood.
+2. Across Spark, the short lists of a class are those of its n - T + m rarest shingles, of which partners
+   share m. Rarity is the level of a count over all documents, kept in a table of fixed size; any order
+   gives all links, a good order keeps the lists short. Pairs of linkable sizes are counted over the
+   lists, and those found m times are joined by an edge; lists with very many members are chained by
+   size instead. A neighbourhood is a component of these edges. No link leaves a neighbourhood.
 3. The sets of a neighbourhood meet in a task, which merges the short lists with a heap, probes the long
    ones by binary search and keeps partners that reach the overlap that their two sizes need. Pairs that
    are connected already are skipped, which loses no component. A large neighbourhood is cut into blocks,
@@ -39,7 +40,9 @@ from affinia.llm.hashing import U, mix, shingle_sets
 
 WIDTH, PERCENT = 3, 90
 #: Counts are kept for so many hash values, in blocks of this size.
-BITS, BLOCK = 21, 1 << 15
+BITS, BLOCK = 22, 1 << 15
+#: One more list must be shared for each so many shingles; a list of more members than PAIRS is a chain.
+APART, PAIRS = 25, 64
 #: A task compares at most two blocks of so many sets, and of about so many shingles.
 GROUP, GROUP_SHINGLES = 2000, 3_000_000
 
@@ -53,6 +56,11 @@ def needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def matches(n: int) -> int:
+    """How many short lists two sets share if they link; n: the smaller one's size."""
+    return 1 + n // APART
+
+
 def set_ids(tokens: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that tell a set."""
     pair = mix(tokens + U(0x51ED270B)).sum(dtype=U), mix(tokens ^ U(0xD1B54A32D192ED03)).sum(dtype=U)
@@ -125,7 +133,7 @@ def _short_lists(docs: DataFrame, levels: np.ndarray, width: int, percent: int)
                 # Sets that can only link with equal ones are not in any list.
                 if n and needed(n, n + 1, percent) <= n and (h1 := set_ids(tokens)[0]) not in done:
                     done.add(h1)
-                    short = n - least_overlap(n, percent) + 1
+                    short = min(n, n - least_overlap(n, percent) + matches(n))
                     order = level[(tokens >> U(64 - BITS)).astype(np.int64)].astype(U) << U(56) | tokens >> U(8)
                     found.append(tokens[np.argpartition(order, short - 1)[:short]])
                     owners.append(h1)
@@ -139,6 +147,26 @@ def _short_lists(docs: DataFrame, levels: np.ndarray, width: int, percent: int)
     return docs.where("text IS NOT NULL").select("text").mapInArrow(run, "token long, h1 long, n int")
 
 
+def _neighbours(lists: DataFrame, percent: int) -> DataFrame:
+    """u, v: classes that share at least as many short lists as a link would, and chains through long lists.
+
+    A pair that links shares `matches` of the smaller set's size in short lists. If one of these has more
+    than PAIRS members, the two are joined through the members between them, whose sizes are closer yet;
+    else all of these lists count the pair.
+    """
+    by_size = Window.partitionBy("token").orderBy("n", "h1")
+    size = F.count(F.lit(1)).over(by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    several = lists.withColumn("size", size).where("size > 1")
+    fits = F.col("u.n") * 100 >= F.col("n") * percent
+    before = F.lag(F.struct("h1", "n")).over(by_size)
+    chained = several.where(F.col("size") > PAIRS).select(before.alias("u"), "h1", "n").where(fits)
+    earlier = F.collect_list(F.struct("h1", "n")).over(by_size.rowsBetween(-PAIRS, -1))
+    met = several.where(F.col("size") <= PAIRS).select(earlier.alias("earlier"), "h1", "n").select(F.explode("earlier").alias("u"), "h1", "n").where(fits & (F.col("u.h1") != F.col("h1")))
+    counted = met.groupBy(F.col("u.h1").alias("u"), F.col("h1").alias("v")).agg(F.count(F.lit(1)).alias("k"), F.min("u.n").alias("n"))
+    often = counted.where(F.col("k") >= F.floor(F.col("n") / APART) + 1)
+    return often.select("u", "v").unionByName(chained.select(F.col("u.h1").alias("u"), F.col("h1").alias("v")))
+
+
 class Forest:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -255,10 +283,7 @@ def join_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     signed = stored(_sign(docs, width), "signed")
     rows = signed.where("block IS NULL").select("doc_id", "n", "h1", "h2")
     lists = _short_lists(docs, _levels(signed), width, percent)
-    # In a list by size, whoever can link is joined through the members between them, whose sizes are closer yet.
-    order = Window.partitionBy("token").orderBy("n", "h1")
-    before = lists.select(F.lag("h1").over(order).alias("u"), F.col("h1").alias("v"), F.lag("n").over(order).alias("less"), "n")
-    near = components(before.where(F.col("less") * 100 >= F.col("n") * percent).select("u", "v"))
+    near = components(_neighbours(lists, percent))
 
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
