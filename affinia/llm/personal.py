@@ -3,7 +3,7 @@
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers. These are the seeds. The
 words before a seed, and before any other token with at least four digits, are lexical patterns. Spark
 scores the graph of patterns and instances: a pattern of a kind is as good as the mean of its instances, an
-instance that isn't a seed is as good as the mean of its patterns, for a few rounds. Patterns with enough
+instance that isn't a seed is as good as the mean of its patterns, round after round. Patterns with enough
 distinct seeds and a high score then mark the other tokens behind them as identifiers of their kind.
 
 The texts are read once; what is found in them is stored, and the graph is made from that by grouping
@@ -157,26 +157,30 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def scored_patterns(tokens: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, least: float = LEAST) -> DataFrame:
-    """pattern, kind of the patterns to be used. tokens has kind (null for candidates), value, pattern."""
+    """pattern, kind, score of the patterns to be used. tokens has kind (null for candidates), value, pattern.
+
+    Only patterns with enough distinct seeds of a kind can be used, so the graph is that of these patterns;
+    an instance's other patterns count as 0 in its mean.
+    """
     edges = stored(tokens.groupBy("pattern", "value", "kind").agg(F.count(F.lit(1)).alias("n")).drop("n"), "edges")
-    sizes = edges.groupBy("pattern").agg(F.count_distinct("value").alias("size"))
-    held = edges.where("kind IS NOT NULL").withColumn("score", F.lit(1.0))
-    open_ = edges.where("kind IS NULL").select("pattern", "value")
-    by_seed = held.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    patterns = None
-    for k in range(rounds):
-        sums = held.groupBy("pattern", "kind").agg(F.sum("score").alias("sum"))
-        patterns = sums.join(sizes, "pattern").select("pattern", "kind", F.least(F.col("sum") / F.col("size"), F.lit(1.0)).alias("score"))
-        if k + 1 < rounds:
-            patterns = stored(patterns, "patterns")
-            known = edges.where("kind IS NOT NULL").select("pattern", "value", "kind", F.lit(1.0).alias("score"))
-            # The mean over all patterns of an instance: those without a score of the kind count as 0.
-            n = open_.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-            mean = open_.join(patterns, "pattern").groupBy("value", "kind").agg(F.sum("score").alias("sum")).join(n, "value")
-            found = mean.select("value", "kind", (F.col("sum") / F.col("n")).alias("score"))
-            held = stored(known.unionByName(open_.join(found, "value").select("pattern", "value", "kind", "score")), "held")
-    good = patterns.join(by_seed, ["pattern", "kind"]).where((F.col("seeds") >= seeds) & (F.col("score") >= least))
-    best = good.groupBy("pattern").agg(F.max(F.struct("score", "seeds", (-F.col("kind")).alias("minus"))).alias("best"))
+    by_kind = [F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in range(len(KINDS))]
+    counts = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"), *by_kind)
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k{k}").alias("seeds")) for k in range(len(KINDS))])
+    known = counts.select("pattern", "size", F.explode(F.filter(each, lambda x: x["seeds"] >= seeds)).alias("x")).select("pattern", "size", "x.kind", "x.seeds")
+    known = stored(known, "known")
+    scored = known.withColumn("score", F.col("seeds") / F.col("size"))
+
+    candidates = edges.where("kind IS NULL").select("pattern", "value")
+    tied = candidates.join(known.select("pattern").distinct(), "pattern", "left_semi")
+    means = candidates.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    tied = stored(tied.join(means, "value").select("pattern", "value", "n"), "tied")
+    if not tied.isEmpty():
+        for _ in range(rounds):
+            of = tied.join(scored.select("pattern", "kind", "score"), "pattern").groupBy("value", "kind").agg((F.sum("score") / F.first("n")).alias("good"))
+            more = tied.select("pattern", "value").join(of, "value").groupBy("pattern", "kind").agg(F.sum("good").alias("more"))
+            score = F.least((F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("size"), F.lit(1.0))
+            scored = stored(known.join(more, ["pattern", "kind"], "left").withColumn("score", score).drop("more"), "scored")
+    best = scored.where(F.col("score") >= least).groupBy("pattern").agg(F.max(F.struct("score", "seeds", (-F.col("kind")).alias("minus"))).alias("best"))
     return best.select("pattern", (-F.col("best.minus")).alias("kind"), F.col("best.score").alias("score"))
 
 
