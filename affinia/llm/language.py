@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinia.llm.common import stored
 from affinia.llm.hashing import LOWER, U, chunks, mix
 
 BITS = 13
@@ -104,8 +105,12 @@ def train(docs: DataFrame) -> Model:
         df[row["dim"]] = row["n"]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])).astype(np.float32) + 1
 
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    sample = usable.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= PER_LANG)
+    # About three times the rows that are needed have low hashes; only those are ranked. The table of
+    # languages is stored, so that Spark knows its size before it plans the join.
+    sizes = stored(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")), "languages")
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("__n") < F.lit(float(3 * PER_LANG << 20))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), "doc_id", "text")
+    sample = usable.join(sizes, "lang").where(low).withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= PER_LANG)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
