@@ -88,10 +88,7 @@ def _mapped(docs: DataFrame, make: Callable[[ChunkTable, str], tuple], model: by
             made = [pa.array(list(c), kinds[k]) for c, (_, k) in zip(cols, more, strict=True)]
             yield pa.record_batch([*batch.columns, *made], [*names, *(n for n, _ in more)])
 
-    out = StructType(list(docs.schema.fields))
-    for name, kind in more:
-        out = out.add(name, kind)
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(schema).fields]))
 
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text") -> DataFrame:

@@ -62,7 +62,7 @@ def test_no_labels_keep_all(spark, docs_of):
 
 PII = [
     ("mail a.b+c@x-y.co.uk, or @home or a@b", [("email", 5, 20)]),
-    ("1.2.3.4 256.1.1.1 1.2.3 10.0.0.10.5 001.2.3.4", [("ip", 0, 7), ("ip", 26, 35), ("ip", 38, 47)]),
+    ("1.2.3.4 256.1.1.1 1.2.3 10.0.0.10.5 001.2.3.4", [("ip", 0, 7), ("ip", 24, 33), ("ip", 36, 45)]),
     ("4111 1111 1111 1111 and 4111111111111112", [("card", 0, 19)]),
     ("call +1 (974) 555-3436 or +12", [("phone", 5, 22)]),
     ("é😀 a@b.cc", [("email", 3, 9)]),
