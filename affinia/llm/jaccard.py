@@ -44,7 +44,7 @@ BITS, BLOCK = 22, 1 << 15
 #: One more list must be shared for each so many shingles; a list of more members than PAIRS is a chain.
 APART, PAIRS = 25, 64
 #: A task compares at most two blocks of so many sets, and of about so many shingles.
-GROUP, GROUP_SHINGLES = 2000, 3_000_000
+GROUP, GROUP_SHINGLES = 2000, 1_000_000
 
 
 def least_overlap(n: int, percent: int) -> int:

@@ -40,7 +40,9 @@ from affinia.llm.hashing import U, buffers, chunks, mix, powers
 
 LENGTH, GRAM = 100, 32
 #: Bytes of contexts in one suffix array.
-SHARD = 1 << 20
+SHARD = 1 << 18
+#: Bytes of texts whose contexts are sorted and sent together.
+FLUSH = 1 << 22
 _NO_ID = np.iinfo(np.int64).max
 _BYTE = mix(np.arange(1001, 1257, dtype=U))
 _PLACE = U((1 << 26) - 1)
@@ -102,31 +104,38 @@ def _unpacked(payloads: list[bytes]) -> dict[str, np.ndarray]:
 def _contexts(texts: DataFrame, parts: int) -> DataFrame:
     """part, kept, gone: the contexts of each batch, packed; gone are those equal to an earlier one of their batch."""
 
+    def sent(found: list[tuple]) -> pa.RecordBatch:
+        c = _in_order({k: np.concatenate(v) for (k, _), v in zip(_KINDS, zip(*found, strict=True), strict=True)})
+        again = np.zeros(len(c["key"]), bool)
+        again[1:] = (c["key"][1:] == c["key"][:-1]) & (c["ctx"][1:] == c["ctx"][:-1])
+        part = (c["key"] % U(parts)).astype(np.int64)
+        out: tuple[list, list, list] = ([], [], [])
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in range(parts):
+            mine = order[bounds[p] : bounds[p + 1]]
+            if len(mine):
+                gone = again[mine]
+                out[0].append(p)
+                out[1].append(_packed({k: v[mine[~gone]] for k, v in c.items()}))
+                out[2].append(_packed({k: v[mine[gone]] for k, v in c.items()}))
+        return pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["part", "kept", "gone"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        size = 0
         for batch in batches:
             rows = batch.column(0).to_numpy()
             docs = batch.column(1).fill_null(_NO_ID).to_numpy()
-            found = []
             for row, data, at in chunks(batch.column(2)):
                 key, ctx, text, start, more = anchors(data, at)
                 found.append((key, ctx, docs[row + text], rows[row + text], start, more))
-            c = {k: np.concatenate(v) for (k, _), v in zip(_KINDS, zip(*found, strict=True), strict=True)} if found else {}
-            if not c or not len(c["key"]):
-                continue
-            c = _in_order(c)
-            again = np.concatenate(([False], (c["key"][1:] == c["key"][:-1]) & (c["ctx"][1:] == c["ctx"][:-1])))
-            part = (c["key"] % U(parts)).astype(np.int64)
-            out: tuple[list, list, list] = ([], [], [])
-            order = np.argsort(part, kind="stable")
-            bounds = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                mine = np.sort(order[bounds[p] : bounds[p + 1]])
-                if len(mine):
-                    gone = again[mine]
-                    out[0].append(p)
-                    out[1].append(_packed({k: v[mine[~gone]] for k, v in c.items()}))
-                    out[2].append(_packed({k: v[mine[gone]] for k, v in c.items()}))
-            yield pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["part", "kept", "gone"])
+                size += len(data)
+                if size >= FLUSH:
+                    yield sent(found)
+                    found, size = [], 0
+        if found:
+            yield sent(found)
 
     return texts.mapInArrow(run, "part int, kept binary, gone binary")
 
@@ -305,16 +314,15 @@ def _by_suffixes(fetched: DataFrame) -> DataFrame:
     return fetched.repartition("key").sortWithinPartitions("key").select("key", "doc", "row", "start", "bytes").mapInArrow(run, "row long, start long, more int")
 
 
-def kept_ranges(size: int, spans: list[dict]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The removed runs, joined where they touch, and what is left. spans: start and more of strings that go."""
-    gone: list[list[int]] = []
-    for start, end in sorted((s["start"], s["start"] + s["more"] + LENGTH) for s in spans):
-        if gone and start <= gone[-1][1]:
-            gone[-1][1] = max(gone[-1][1], end)
-        else:
-            gone.append([start, end])
-    edges = [0, *(x for g in gone for x in g), size]
-    return [(a, b) for a, b in gone], [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a]
+def kept_ranges(size: int, starts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The removed runs, joined where they touch, and what is left; a row each, start and end."""
+    if not len(starts):
+        return np.zeros((0, 2), np.int64), np.array([[0, size]])
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate((starts + more + LENGTH)[order])
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > ends[:-1])))
+    gone = np.stack((starts[first], ends[np.concatenate((first[1:] - 1, [len(ends) - 1]))]), axis=1)
+    return gone, np.concatenate(([0], gone.ravel(), [size])).reshape(-1, 2)
 
 
 _CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -325,12 +333,17 @@ def _removed(rows: DataFrame, digest: bool) -> DataFrame:
         for batch in batches:
             data, at = buffers(batch.column(1))
             cols: tuple[list, ...] = ([], [], [], [])
-            for k, spans in enumerate(batch.column(2).to_pylist()):
+            sizes = batch.column(2).value_lengths().fill_null(0).to_numpy()
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            spans = batch.column(2).flatten()
+            starts, more = spans.field(0).to_numpy(), spans.field(1).to_numpy().astype(np.int64)
+            for k in range(batch.num_rows):
                 text = data[at[k] : at[k + 1]].tobytes()
-                gone, left = kept_ranges(len(text), spans or [])
-                rest = b"".join(text[a:b] for a, b in left)
+                mine = slice(bounds[k], bounds[k + 1])
+                gone, left = kept_ranges(len(text), starts[mine], more[mine])
+                rest = b"".join(text[a:b] for a, b in left.tolist())
                 made = hashlib.sha256(rest).hexdigest().encode() if digest else rest
-                for col, v in zip(cols, (len(text), sum(b - a for a, b in gone), len(gone), made), strict=True):
+                for col, v in zip(cols, (len(text), int((gone[:, 1] - gone[:, 0]).sum()), len(gone), made), strict=True):
                     col.append(v)
             yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
