@@ -8,8 +8,8 @@ lists aside: a partner must be in one of its other, short lists, and the long on
 2. Across Spark, the short lists of a class are those of its n - T + m rarest shingles, of which partners
    share m. Rarity is the level of a count over all documents, kept in a table of fixed size; any order
    gives all links, a good order keeps the lists short. Pairs of linkable sizes are counted over the
-   lists, and those found m times are joined by an edge; lists with very many members are chained by
-   size instead. A neighbourhood is a component of these edges. No link leaves a neighbourhood.
+   lists, and those found m times are joined by an edge; lists with very many members are joined by
+   ranges of size instead. A neighbourhood is a component of these edges. No link leaves a neighbourhood.
 3. The sets of a neighbourhood meet in a task, which merges the short lists with a heap, probes the long
    ones by binary search and keeps partners that reach the overlap that their two sizes need. Pairs that
    are connected already are skipped, which loses no component. A large neighbourhood is cut into blocks,
@@ -41,7 +41,7 @@ from affinia.llm.hashing import U, mix, shingle_sets
 WIDTH, PERCENT = 3, 90
 #: Counts are kept for so many hash values, in blocks of this size.
 BITS, BLOCK = 22, 1 << 15
-#: One more list must be shared for each so many shingles; a list of more members than PAIRS is a chain.
+#: One more list must be shared for each so many shingles; a list of more members than PAIRS is joined by size.
 APART, PAIRS = 25, 64
 #: A task compares at most two blocks of so many sets, and of about so many shingles.
 GROUP, GROUP_SHINGLES = 2000, 1_000_000
@@ -151,20 +151,26 @@ def _neighbours(lists: DataFrame, percent: int) -> DataFrame:
     """u, v: classes that share at least as many short lists as a link would, and chains through long lists.
 
     A pair that links shares `matches` of the smaller set's size in short lists. If one of these has more
-    than PAIRS members, the two are joined through the members between them, whose sizes are closer yet;
-    else all of these lists count the pair.
+    than PAIRS members, the two are joined through the members between them, whose sizes are closer yet:
+    each goes to the first member of its range of sizes, and the first of a range to that of the range
+    before it if their members next to each other fit. This joins what a chain from each member to the
+    next would, but a component is a few steps deep however long the list is. Otherwise all of these
+    lists count the pair.
     """
     by_size = Window.partitionBy("token").orderBy("n", "h1")
     size = F.count(F.lit(1)).over(by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     several = lists.withColumn("size", size).where("size > 1")
     fits = F.col("u.n") * 100 >= F.col("n") * percent
-    before = F.lag(F.struct("h1", "n")).over(by_size)
-    chained = several.where(F.col("size") > PAIRS).select(before.alias("u"), "h1", "n").where(fits)
+    span = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
+    long_lists = several.where(F.col("size") > PAIRS).withColumn("span", span).withColumn("u", F.lag(F.struct("n", "span")).over(by_size))
+    opens = F.col("u").isNull() | (F.col("u.span") != F.col("span")) | ~fits
+    head = F.last(F.when(opens, F.col("h1")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    chained = long_lists.withColumn("head", head).where(fits).select(F.col("head").alias("u"), F.col("h1").alias("v"))
     earlier = F.collect_list(F.struct("h1", "n")).over(by_size.rowsBetween(-PAIRS, -1))
     met = several.where(F.col("size") <= PAIRS).select(earlier.alias("earlier"), "h1", "n").select(F.explode("earlier").alias("u"), "h1", "n").where(fits & (F.col("u.h1") != F.col("h1")))
     counted = met.groupBy(F.col("u.h1").alias("u"), F.col("h1").alias("v")).agg(F.count(F.lit(1)).alias("k"), F.min("u.n").alias("n"))
     often = counted.where(F.col("k") >= F.floor(F.col("n") / APART) + 1)
-    return often.select("u", "v").unionByName(chained.select(F.col("u.h1").alias("u"), F.col("h1").alias("v")))
+    return often.select("u", "v").unionByName(chained)
 
 
 class Forest:

@@ -63,6 +63,17 @@ def test_large_neighbourhoods_are_cut(docs_of, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
+def test_long_lists_are_joined_by_size(docs_of, monkeypatch):
+    monkeypatch.setattr(J, "PAIRS", 2)
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(base[: rnd.randint(20, 120)] + ["end"] * rnd.randint(0, 3))) for k in range(60)]
+    rows += [(100 + k, text) for k, text in corpus(6, groups=3, size=12)]
+    for width, percent in ((3, 90), (2, 70)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_components(docs_of(rows), width, percent).collect()}
+        assert got == brute(rows, width, percent)
+
+
 def test_repeats_nulls_and_nothing(docs_of):
     rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A b  c d")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in join_components(docs_of(rows)).collect()), key=str)
