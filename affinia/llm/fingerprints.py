@@ -1,6 +1,8 @@
 """Document fingerprints by invertible Bloom lookup sketches, in DataFrame operations only.
 
-A document's paragraphs (its lines that aren't empty, each once) have 64-bit digests. A sketch has CELLS
+A document's paragraphs (its lines that aren't empty, each once) have 64-bit digests. A line of more than
+LONG characters is cut into units, runs of words whose borders the hashes of the words pick, so that a
+long line edited in one place keeps the digests of its other units. A sketch has CELLS
 cells in three parts; a digest is counted, and xor-ed with its check, into one cell of each part. Two
 sketches subtract cell by cell: what both have cancels out. Peeling then takes digests from cells that
 hold a single one until nothing is left: those are the paragraphs that differ, and their number gives
@@ -30,11 +32,36 @@ TRIES = (CELLS, 4 * CELLS, 16 * CELLS)
 #: Peeling takes all cells with a single digest at once; so many times at most.
 ROUNDS = 12
 
+#: A line of more characters is cut: after one word in BORDER, by its hash, and after MOST words at least.
+LONG, BORDER, MOST = 64, 8, 32
+#: A word with the white space behind it. Scripts without blanks have a word for each character; other runs are cut at 32.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+_WORDS = rf"(?:[{_ALONE}]|[^\s{_ALONE}]{{1,32}})\s*|\s+"
+
+
+def _units(line: Column) -> Column:
+    """The digests of a long line's units."""
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.pmod(F.xxhash64(F.get(words, i - 1)), F.lit(BORDER)) == 0))
+
+        def between(ends: Column) -> Column:
+            def run(end: Column, k: Column) -> Column:
+                start = F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1))
+                return bound(start, lambda a: F.transform(F.sequence(a, end - 1, F.lit(MOST)), lambda at: F.xxhash64(F.slice(words, at + 1, F.least(end - at, F.lit(MOST))))))
+
+            return F.flatten(F.transform(ends, run))
+
+        return bound(ends, between)
+
+    return bound(F.regexp_extract_all(line, F.lit(_WORDS), F.lit(0)), of)
+
 
 def digests(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs."""
+    """The distinct digests of a text's paragraphs, and of the units of the long ones."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x != "")
-    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.flatten(F.transform(lines, lambda x: F.when(F.char_length(x) > LONG, _units(x)).otherwise(F.array(F.xxhash64(x))))))
 
 
 def _places(key: Column, cells: int) -> list[Column]:

@@ -132,6 +132,18 @@ def test_fingerprints(docs_of):
     assert IB.fingerprints(docs_of([])).count() == 0
 
 
+def test_a_long_line_edited_in_part_stays_near(docs_of):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(3000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(n)) for n in (60, 400, 2000)] + ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(900)), "x" * 5000, "".join(rnd.choice("abcdef0123") for _ in range(4000))]
+    got = {r.doc_id: r for r in IB.fingerprints(docs_of(list(enumerate(texts)))).collect()}
+    assert all(got[i].near_edited > 0.3 for i in (0, 1, 2, 3, 5)) and got[4].near_edited > 0
+    assert all(got[i].near_next < 0.05 and got[i].near_edited > got[i].near_next for i in range(6))
+    moved = "one more word " + texts[2]
+    pair = docs_of([(0, texts[2]), (1, moved)])
+    assert IB.fingerprints(pair).where("doc_id = 0").first().near_next > 0.95
+
+
 def test_peeling_recovers_or_fails(spark):
     a, b = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda x: F.xxhash64(x)), F.transform(F.sequence(F.lit(8), F.lit(42)), lambda x: F.xxhash64(x))
     row = spark.range(1).select(IB.peeled(IB.subtract(IB.sketch(a, 24), IB.sketch(b, 24)), 24).alias("few"), IB.peeled(IB.subtract(IB.sketch(a, 24), IB.sketch(F.array().cast("array<bigint>"), 24)), 24).alias("many"), IB.differing(a, b).alias("d")).first()
