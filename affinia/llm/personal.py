@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 Fixed patterns find e-mail addresses, IP addresses, card and phone numbers. These are the seeds. The
-words before a seed, and before any other token with at least four digits, are lexical patterns. Spark
+words before a seed, and before any other token of a plausible shape, are lexical patterns. Spark
 scores the graph of patterns and instances: a pattern of a kind is as good as the mean of its instances, an
 instance that isn't a seed is as good as the mean of its patterns, round after round. Patterns with enough
 distinct seeds and a high score then mark the other tokens behind them as identifiers of their kind.
@@ -36,8 +36,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9][0-9.]*")
-_DIGITS = re.compile(r"[0-9]{4,}")
+_AT = re.compile(r"@|[(\[{]at[)\]}]", re.IGNORECASE)
+_GROUPS = re.compile(r"[0-9A-Fa-f]+([.:]+[0-9A-Fa-f]+){2,}")
 _WHITE = " \t\n\x0b\x0c\r"
+#: What a plausible token has somewhere, and groups of digits with blanks between them.
+_SIGN = re.compile(r"[0-9@]|[(\[{]at[)\]}]", re.IGNORECASE)
+_SPACED = re.compile(r"[+(]?[0-9][0-9()./+-]*(?:\x20[0-9(][0-9()./+-]*)+")
 _EDGES = "\"'`.,;:!?()[]{}<>|="
 
 #: Rounds of scoring; a pattern is used with so many distinct seeds and this score at least.
@@ -108,11 +112,19 @@ def contexts(text: str, start: int) -> list[str]:
     return [" ".join(before[-1:]), " ".join(before)][: len(before)]
 
 
+def plausible(token: str) -> bool:
+    """An @ or (at) within, groups with dots or colons, or four digits in all."""
+    if sum("0" <= c <= "9" for c in token) >= 4:
+        return True
+    m = _AT.search(token)
+    return bool(m and 0 < m.start() and m.end() < len(token)) or bool(_GROUPS.fullmatch(token))
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Tokens with four digits or more that touch no span of the fixed patterns."""
+    """Plausible tokens that touch no span of the fixed patterns."""
     out, last, i = [], -1, 0
     ordered = sorted((s, e) for s, _, e in spans)
-    for run in _DIGITS.finditer(text):
+    for run in _SIGN.finditer(text):
         if run.start() < last:
             continue
         start, end = run.span()
@@ -120,6 +132,9 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
             start -= 1
         while end < len(text) and text[end] not in _WHITE:
             end += 1
+        m = _SPACED.match(text, start)
+        if m and sum("0" <= c <= "9" for c in m[0]) <= 19:
+            end = max(end, m.end())
         last = end
         while start < end and text[start] in _EDGES:
             start += 1
@@ -127,7 +142,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
             end -= 1
         while i < len(ordered) and ordered[i][1] <= start:
             i += 1
-        if end > start and not any(s < end and e > start for s, e in ordered[i : i + 8]):
+        if end > start and plausible(text[start:end]) and not any(s < end and e > start for s, e in ordered[i : i + 8]):
             out.append((start, end))
     return out
 
@@ -190,7 +205,9 @@ def find(docs: DataFrame, rounds: int = ROUNDS, seeds: int = SEEDS, least: float
     each = seen.select("row", F.explode("seen").alias("s")).select("row", "s.*")
     tokens = each.select("row", "kind", "start", "end", "value", F.explode("patterns").alias("pattern"))
     good = stored(scored_patterns(tokens.select("kind", "value", "pattern"), rounds, seeds, least), "good")
-    added = tokens.where("kind IS NULL").drop("kind").join(good, "pattern")
+    fits = F.when(F.length(F.regexp_replace("value", "[^0-9]", "")) >= 4, True)  # else only the kind of its shape
+    fits = fits.when(F.col("kind") == 0, F.col("value").rlike(rf"(?i){_AT.pattern}")).otherwise((F.col("kind") == 1) & ~F.col("value").rlike(rf"(?i){_AT.pattern}"))
+    added = tokens.where("kind IS NULL").drop("kind").join(good, "pattern").where(fits)
     one = added.groupBy("row", "start", "end").agg(F.max(F.struct("score", (-F.col("kind")).alias("minus"))).alias("best"))
     more = one.select("row", F.struct("start", (-F.col("best.minus")).alias("kind"), "end").alias("span")).groupBy("row").agg(F.collect_list("span").alias("more"))
     own = F.transform(F.filter("seen", lambda s: s["kind"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))

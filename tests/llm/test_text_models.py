@@ -94,6 +94,14 @@ def test_contexts_find_more(docs_of):
     assert personal.find(docs_of([])).count() == 0
 
 
+def test_contexts_find_other_shapes(docs_of):
+    kinds = {"email": ("write to", [f"p{i}@host{i}.org" for i in range(9)]), "ip": ("node at", [f"10.0.{i}.7" for i in range(9)]), "phone": ("please ring", [f"+49 30 55512{i}0" for i in range(9)])}
+    rows = [f"{before} {v} now" for before, values in kinds.values() for v in values]
+    odd = {"write to jane@intranet now": "email:9:22", "write to jane(at)host now": "email:9:21", "node at fe80::a:b now": "ip:8:17", "please ring 030-123-45-67 now": "phone:12:25", "please ring 030 123 45 67 now": "phone:12:25", "please ring jane@intranet now": ""}
+    got = {r.doc_id: r.spans for r in personal.find(docs_of(list(enumerate([*rows, *odd])))).collect()}
+    assert [got[len(rows) + i] for i in range(len(odd))] == list(odd.values())
+
+
 def test_pieces(docs_of):
     import sentencepiece
 
