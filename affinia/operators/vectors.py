@@ -1,4 +1,4 @@
-"""Vectors: cosine, search with negatives, seeded draws, statistics of a match, near duplicates."""
+"""Vectors: cosine, search with negatives, seeded draws, statistics of a match, Chamfer scores of pairs."""
 
 from __future__ import annotations
 
