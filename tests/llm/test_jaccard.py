@@ -63,6 +63,46 @@ def test_large_neighbourhoods_are_cut(docs_of, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
+def test_blocks_that_only_visits_connect(docs_of, monkeypatch):
+    """Chains of growing texts: neighbourhoods whose components meet across blocks and sizes."""
+    monkeypatch.setattr(J, "GROUP", 4)
+    monkeypatch.setattr(J, "PAIRS", 3)
+    rnd = random.Random(11)
+    rows = []
+    for c in range(3):
+        base = [f"c{c}w{k}" for k in range(200)]
+        for k in range(30):
+            cut = 60 + rnd.choice((3, 9)) * k // 3
+            words = base[:cut]
+            for _ in range(rnd.choice((0, 0, 1, 2))):
+                words[rnd.randrange(len(words))] = "x"
+            rows.append((len(rows), " ".join(words)))
+    for width, percent in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in join_components(docs_of(rows), width, percent).collect()}
+        assert got == brute(rows, width, percent)
+
+
+def test_an_id_with_several_texts_is_one_node(docs_of):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(3, a), (5, a), (5, b), (7, b + " end"), (9, "c d e"), (9, "f g h"), (11, "f g h")]
+    got = sorted((r.doc_id, r.component_id) for r in join_components(docs_of(rows)).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9), (9, 9), (11, 9)]
+
+
+def test_folded_lists_keep_what_they_join():
+    rnd = np.random.default_rng(3)
+    tokens = rnd.choice(np.array([5, 6, 7], np.uint64), 500, p=[0.8, 0.15, 0.05])
+    of, n = np.arange(1, 501), rnd.integers(10, 200, 500)
+    token, h1, size, weight, head = J._folded(tokens, of, n, 90)
+    for t in (5, 6):
+        inside = (token == t) & (head == 0)
+        assert weight[inside].sum() == (tokens == t).sum()
+        assert set(J._span(n[tokens == t], 90)) == set(J._span(size[inside], 90))
+    assert ((token == 7) & (head == 0)).sum() == (tokens == 7).sum()
+    joined = head != 0
+    assert all(J._span(n[h - 1 : h], 90) == J._span(n[i - 1 : i], 90) for i, h in zip(h1[joined], head[joined], strict=True))
+
+
 def test_long_lists_are_joined_by_size(docs_of, monkeypatch):
     monkeypatch.setattr(J, "PAIRS", 2)
     rnd = random.Random(8)

@@ -46,6 +46,23 @@ def test_stages_keep_the_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns
 
 
+def test_repeated_and_null_ids_lose_no_text(spark, docs_of):
+    rows = [(3, "a b c"), (5, "a b c"), (5, "unique other text"), (None, "a b c"), (None, "lone"), (5, "a b c"), (7, None), (8, " ")]
+    docs = docs_of(rows)
+    kept = corpus_pipeline.distinct_texts(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "a b c"), (5, "unique other text"), (None, "lone"), (8, " ")], key=str)
+    long_ = " ".join(f"w{k}" for k in range(60))
+    rows = [(4, long_), (2, long_ + " end"), (2, "another text of the same id here"), (None, long_), (6, long_), (7, None), (8, "")]
+    kept = corpus_pipeline.distinct_shingles(spark, docs_of(rows), SF)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(2, long_ + " end"), (2, "another text of the same id here"), (7, None), (8, "")], key=str)
+
+
+def test_empty_tables(spark, docs_of):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs_of([]), SF).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_one_row_each(spark, name):
     table = "pages" if name.startswith("op5") else "documents"
