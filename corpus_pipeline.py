@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from affinia.llm.common import read, stored
+from affinia.llm.common import keyed, read, stored
 from affinia.llm.exact_dedup import exact_dedup
 from affinia.llm.jaccard import join_components
 from affinia.llm.mixing import mix
@@ -24,21 +25,29 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return select(docs, read(spark, sf_dir, "labels"))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids in dropped; rows with a null id stay."""
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose numbers are in dropped, and without the numbers."""
+    return docs.join(dropped, row, "left_anti").drop(row)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    decided = exact_dedup(docs)
-    return _without(docs, stored(decided.where("NOT kept").select("doc_id"), "copies"))
+    """One row of each group of equal texts: decided by row, as ids may repeat or be null."""
+    numbered, row = keyed(docs)
+    dropped = exact_dedup(numbered, row_col=row).where("NOT kept").select(F.col("row").alias(row))
+    return _without(numbered, row, stored(dropped, "copies"))
 
 
 def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group that shares five-word shingles (Jaccard 0.8)."""
-    decided = join_components(docs, width=5, percent=80)
-    return _without(docs, stored(decided.where("doc_id <> component_id").select("doc_id"), "near"))
+    """One row, the one with the smallest id, of each group that shares five-word shingles (Jaccard 0.8).
+
+    Rows are compared under their numbers, so that texts with one id are not taken for one document.
+    """
+    numbered, row = keyed(docs)
+    found = stored(join_components(numbered, width=5, percent=80, id_col=row).select(F.col("doc_id").alias(row), "component_id"), "near")
+    ids = numbered.select(row, F.col("doc_id").cast("long").alias("__id"))
+    first = F.min_by(row, F.struct(F.col("__id").isNull(), "__id", row))
+    kept = found.join(ids, row).groupBy("component_id").agg(first.alias(row)).select(row)
+    return _without(numbered, row, stored(found.select(row).join(kept, row, "left_anti"), "dropped"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
