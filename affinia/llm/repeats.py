@@ -5,19 +5,21 @@ smaller id, or earlier in the same one. Matches never cross documents and are ju
 
 1. Anchors. In each string of LENGTH bytes, the GRAM bytes with the least hash are its anchor; equal
    strings have equal anchors. The strings with one anchor start next to each other; their bytes are
-   the anchor's context. Every string belongs to exactly one context.
+   the anchor's context. Every string belongs to exactly one context. Without this, each shard would have
+   to send all its distinct strings, a hundred times its bytes. Long texts are read in slices.
 2. Contexts that are equal as a whole (two 64-bit hashes) are repeats, but for the first one. This
    happens within a batch first, so that a passage of very many copies leaves few rows, then across
-   batches, by the anchor's hash.
+   batches, by the anchor's hash. An anchor with very many contexts in one batch sends one of them.
 3. Anchors whose contexts differ may still share strings. Their first contexts are fetched from the
-   texts and dealt by anchor. A shard of them gets a suffix array by Larsson-Sadakane refinement (groups
-   that are not yet single are sorted again by the rank that lies twice as far), and common prefixes by
-   Kasai's method; suffixes that share LENGTH bytes are equal strings, and all but the first go. An
-   anchor whose contexts fill more than a shard is merged across its shards: a string is looked up by
-   binary search in the sorted strings of the earlier shards.
+   texts and dealt to shards by anchor, those of an anchor with more than LOT contexts to several. A shard
+   gets a suffix array by Larsson-Sadakane refinement (groups that are not yet single are sorted again
+   by the rank that lies twice as far), and common prefixes by Kasai's method; suffixes that share
+   LENGTH bytes are equal strings, and all but the first go.
+4. Shards that share an anchor are merged: their distinct strings (two 64-bit hashes each, with the first
+   place) are dealt by range, and each is looked up by binary search among those with an earlier place.
 
-Texts cross one shuffle, used by the fetch and by the final removal. docs should be a table or other
-input that gives the same rows when read again.
+Texts are stored with their row numbers first, and cross one shuffle, used by the fetch and by the
+final removal.
 
 Defined results: a null text is empty. Rows with a null id come last, and rows with equal ids in the
 order in which they are read; each is a document of its own. Texts of fewer than LENGTH bytes stay
@@ -27,7 +29,6 @@ whole. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,15 +40,19 @@ from affinia.llm.common import id_of, shuffle_parts, stored
 from affinia.llm.hashing import U, buffers, chunks, mix, powers
 
 LENGTH, GRAM = 100, 32
-#: Bytes of contexts in one suffix array.
-SHARD = 1 << 18
+#: Bytes of contexts in one suffix array, and contexts of one anchor in it at most.
+SHARD, LOT = 1 << 18, 1000
+#: Strings that are looked at together in a long text.
+SLICE = 1 << 20
+#: An anchor with more contexts in a batch is known to have several.
+OFTEN = 16
 #: Bytes of texts whose contexts are sorted and sent together.
 FLUSH = 1 << 22
 _NO_ID = np.iinfo(np.int64).max
 _BYTE = mix(np.arange(1001, 1257, dtype=U))
 _PLACE = U((1 << 26) - 1)
 #: What is known of a context: anchor, context hash, document, row, first start, further starts.
-_KINDS = (("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("more", "u1"))
+_KINDS = (("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("more", "u1"), ("several", "u1"))
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -101,25 +106,48 @@ def _unpacked(payloads: list[bytes]) -> dict[str, np.ndarray]:
     return {k: np.concatenate(v) if v else np.zeros(0, dict(_KINDS)[k]) for k, v in cols.items()}
 
 
+def sliced(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """(shift of the starts, anchors) of texts; a single long text comes in slices that overlap."""
+    if len(at) > 2 or len(data) < SLICE + LENGTH:
+        yield 0, anchors(data, at)
+        return
+    for low in range(0, len(data) - LENGTH + 1, SLICE):
+        part = data[low : low + SLICE + LENGTH - 1]
+        yield low, anchors(part, np.array([0, len(part)]))
+
+
 def _contexts(texts: DataFrame, parts: int) -> DataFrame:
-    """part, kept, gone: the contexts of each batch, packed; gone are those equal to an earlier one of their batch."""
+    """part, kept, gone, more: the contexts of each batch, packed.
+
+    gone are those equal to an earlier one of their batch. kept goes by anchor; of an anchor with more
+    than OFTEN contexts only the first, marked as one of several, and the others are in more.
+    """
+    names = ["part", "kept", "gone", "more"]
 
     def sent(found: list[tuple]) -> pa.RecordBatch:
-        c = _in_order({k: np.concatenate(v) for (k, _), v in zip(_KINDS, zip(*found, strict=True), strict=True)})
+        cols = {k: np.concatenate(v) for (k, _), v in zip(_KINDS, zip(*found, strict=True), strict=False)}
+        c = _in_order(cols | {"several": np.zeros(len(cols["key"]), np.uint8)})
+        new_key = np.concatenate(([True], c["key"][1:] != c["key"][:-1]))[: len(c["key"])]
         again = np.zeros(len(c["key"]), bool)
-        again[1:] = (c["key"][1:] == c["key"][:-1]) & (c["ctx"][1:] == c["ctx"][:-1])
+        again[1:] = ~new_key[1:] & (c["ctx"][1:] == c["ctx"][:-1])
+        group = np.cumsum(new_key) - 1
+        often = (np.bincount(group, ~again) > OFTEN)[group] if len(group) else again
+        c["several"] = often.astype(np.uint8)
+        beside = often & ~new_key & ~again
         part = (c["key"] % U(parts)).astype(np.int64)
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, list, list, list] = ([], [], [], [])
         order = np.argsort(part, kind="stable")
+        order = order[~(again | beside)[order]]
         bounds = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             mine = order[bounds[p] : bounds[p + 1]]
             if len(mine):
-                gone = again[mine]
-                out[0].append(p)
-                out[1].append(_packed({k: v[mine[~gone]] for k, v in c.items()}))
-                out[2].append(_packed({k: v[mine[gone]] for k, v in c.items()}))
-        return pa.record_batch([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["part", "kept", "gone"])
+                for col, v in zip(out, (p, _packed({k: v[mine] for k, v in c.items()}), b"", b""), strict=True):
+                    col.append(v)
+        spread = int(c["row"][0] + c["start"][0]) % parts if len(c["row"]) else 0  # any task can pass these on
+        for col, v in zip(out, (spread, b"", _packed({k: v[again] for k, v in c.items()}), _packed({k: v[beside] for k, v in c.items()})), strict=True):
+            col.append(v)
+        return pa.record_batch([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
@@ -128,16 +156,16 @@ def _contexts(texts: DataFrame, parts: int) -> DataFrame:
             rows = batch.column(0).to_numpy()
             docs = batch.column(1).fill_null(_NO_ID).to_numpy()
             for row, data, at in chunks(batch.column(2)):
-                key, ctx, text, start, more = anchors(data, at)
-                found.append((key, ctx, docs[row + text], rows[row + text], start, more))
-                size += len(data)
-                if size >= FLUSH:
-                    yield sent(found)
-                    found, size = [], 0
+                for shift, (key, ctx, text, start, more) in sliced(data, at):
+                    found.append((key, ctx, docs[row + text], rows[row + text], start + shift, more))
+                    size += min(len(data), SLICE)
+                    if size >= FLUSH:
+                        yield sent(found)
+                        found, size = [], 0
         if found:
             yield sent(found)
 
-    return texts.mapInArrow(run, "part int, kept binary, gone binary")
+    return texts.select("row", "doc_id", "text").mapInArrow(run, "part int, kept binary, gone binary, more binary")
 
 
 _MARKED = "row long, start long, more int, key long"
@@ -149,15 +177,16 @@ def _marked(contexts: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[bytes] = []
         for batch in batches:
-            kept += batch.column(1).to_pylist()
-            gone = _unpacked(batch.column(2).to_pylist())
-            yield rows(gone, None)
+            kept += [x for x in batch.column(1).to_pylist() if x]
+            yield rows(_unpacked(batch.column(2).to_pylist()), None)
+            yield rows(_unpacked(batch.column(3).to_pylist()), "key")
         c = _in_order(_unpacked(kept))
         if len(c["key"]):
             new_key = np.concatenate(([True], c["key"][1:] != c["key"][:-1]))
             new_ctx = new_key | np.concatenate(([True], c["ctx"][1:] != c["ctx"][:-1]))
             group = np.cumsum(new_key) - 1
-            several = np.bincount(group, new_ctx)[group] > 1
+            several = (np.bincount(group, new_ctx) > 1) | (np.bincount(group, c["several"]) > 0)
+            several = several[group]
             yield rows({k: v[~new_ctx] for k, v in c.items()}, None)
             yield rows({k: v[new_ctx & several] for k, v in c.items()}, "key")
 
@@ -231,87 +260,122 @@ def suffix_order(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return array, common
 
 
-def repeated_strings(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each context, which of its strings of LENGTH bytes start earlier too. contexts: in the order of their places."""
-    shards, size = [[]], 0
-    for k, c in enumerate(contexts):
-        if size + len(c) > SHARD and shards[-1]:
-            shards.append([])
-            size = 0
-        shards[-1].append(k)
-        size += len(c)
-    out, earlier = [], []
-    for shard in shards:
-        bounds = np.concatenate(([0], np.cumsum([len(contexts[k]) for k in shard])))
-        text = b"".join(contexts[k] for k in shard)
-        array, common = suffix_order(np.frombuffer(text, np.uint8), bounds)
-        new = common < LENGTH
-        group = np.cumsum(new) - 1
-        least = np.minimum.reduceat(array, np.flatnonzero(new))
-        gone = array != least[group]
-        if len(shards) > 1:
-            strings = [text[s : s + LENGTH] for s in least.tolist()]
-            before = np.zeros(len(strings), bool)
-            for sorted_ in earlier:
-                for k, s in enumerate(strings):
-                    i = bisect_left(sorted_, s)
-                    before[k] |= i < len(sorted_) and sorted_[i] == s
-            gone |= before[group]
-            earlier.append(strings)
-        flags = np.zeros(len(text), bool)
-        flags[array[gone]] = True
-        out += [flags[a : b - LENGTH + 1] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    return out
+def repeated_strings(contexts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each context, which of its strings of LENGTH bytes start earlier too; and where the distinct strings start first.
+
+    contexts: one shard's, in the order of their places; the starts are those in the contexts put together.
+    """
+    bounds = np.concatenate(([0], np.cumsum([len(c) for c in contexts])))
+    text = b"".join(contexts)
+    array, common = suffix_order(np.frombuffer(text, np.uint8), bounds)
+    new = common < LENGTH
+    least = np.minimum.reduceat(array, np.flatnonzero(new))
+    flags = np.zeros(len(text), bool)
+    flags[array[array != least[np.cumsum(new) - 1]]] = True
+    return [flags[a : b - LENGTH + 1] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], least
+
+
+def string_ids(text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the strings of LENGTH bytes at some starts."""
+    data = np.frombuffer(text, np.uint8)
+    up, down = powers(len(data) + 1)
+    out = []
+    for salt in (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)):
+        sums = np.zeros(len(data) + 1, U)
+        np.cumsum(mix(_BYTE ^ salt)[data] * up[: len(data)], out=sums[1:])
+        out.append(mix((sums[starts + LENGTH] - sums[starts]) * down[starts]).view(np.int64))
+    return out[0], out[1]
 
 
 def _fetched(rows: DataFrame) -> DataFrame:
-    """key, doc, row, start, bytes of the contexts wanted. rows: row, doc_id, text, wants."""
+    """key, lot, doc, row, start, bytes of the contexts wanted. rows: row, doc_id, text, wants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = buffers(batch.column(2))
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
             for k, wants in enumerate(batch.column(3).to_pylist()):
                 row, doc, base = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), int(at[k])
                 for w in wants:
                     start = base + w["start"]
-                    for col, v in zip(cols, (w["key"], _NO_ID if doc is None else doc, row, w["start"], data[start : start + w["more"] + LENGTH].tobytes()), strict=True):
+                    for col, v in zip(cols, (w["key"], w["lot"], _NO_ID if doc is None else doc, row, w["start"], data[start : start + w["more"] + LENGTH].tobytes()), strict=True):
                         col.append(v)
-            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["key", "doc", "row", "start", "bytes"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "lot", "doc", "row", "start", "bytes"])
+
+    return rows.mapInArrow(run, "key long, lot int, doc long, row long, start long, bytes binary")
+
 
-    return rows.mapInArrow(run, "key long, doc long, row long, start long, bytes binary")
+_SOLVED = "row long, start long, more int, doc long, a long, b long"
 
 
 def _by_suffixes(fetched: DataFrame) -> DataFrame:
-    """row, start, more: the runs of repeated strings within contexts that differ. All of an anchor is in one task."""
+    """row, start, more of the runs of repeated strings within contexts that differ; all of a (key, lot) is in one task.
 
-    def solved(some: list[tuple]) -> list[tuple[int, int, int]]:
+    Anchors with several lots (lot > 0) also give their distinct strings: row, start, doc and hashes a, b.
+    """
+
+    def solved(some: list[tuple], shared: bool) -> list[tuple]:
         some.sort(key=lambda x: x[:3])
+        flags, least = repeated_strings([x[3] for x in some])
         out = []
-        for (_, row, start, _), flags in zip(some, repeated_strings([x[3] for x in some]), strict=True):
-            edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-            out += [(row, start + int(a), int(b - a - 1)) for a, b in edges.reshape(-1, 2)]
+        for (_, row, start, _), mine in zip(some, flags, strict=True):
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], mine.view(np.int8), [0]))))
+            out += [(row, start + int(a), int(b - a - 1), None, None, None) for a, b in edges.reshape(-1, 2)]
+        if shared:
+            bounds = np.cumsum([0] + [len(x[3]) for x in some])
+            of = np.searchsorted(bounds, least, "right") - 1
+            a, b = string_ids(b"".join(x[3] for x in some), least)
+            for k, s, x, y in zip(of.tolist(), (least - bounds[of]).tolist(), a.tolist(), b.tolist(), strict=True):
+                doc, row, start, _ = some[k]
+                out.append((row, start + s, None, doc, x, y))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some: list[tuple] = []
-        size, last = 0, None
+        size, last = 0, (None, 0)
         for batch in batches:
             out = []
-            for key, *place, bytes_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key != last and size >= SHARD:
-                    out += solved(some)
+            for key, lot, *place, bytes_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, lot) != last and some and (size >= SHARD or lot or last[1]):
+                    out += solved(some, last[1] > 0)
                     some, size = [], 0
                 some.append((*place, bytes_))
-                size, last = size + len(bytes_), key
-            yield marked(out)
-        yield marked(solved(some) if some else [])
+                size, last = size + len(bytes_), (key, lot)
+            yield made(out)
+        yield made(solved(some, last[1] > 0) if some else [])
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["row", "start", "more", "doc", "a", "b"])
+
+    dealt = fetched.repartition("key", "lot").sortWithinPartitions("key", "lot")
+    return dealt.select("key", "lot", "doc", "row", "start", "bytes").mapInArrow(run, _SOLVED)
+
 
-    def marked(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-        cols = list(zip(*out, strict=True)) if out else [(), (), ()]
-        return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], ["row", "start", "more"])
+def earlier_strings(a: np.ndarray, b: np.ndarray, place: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which strings (hashes a, b) occur at an earlier place too. Looked up by binary search among the sorted first ones."""
+    order = np.lexsort((*place[::-1], b, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    firsts = order[new]
+    pairs = np.zeros(len(a), [("a", np.int64), ("b", np.int64)])
+    pairs["a"], pairs["b"] = a, b
+    return firsts[np.searchsorted(pairs[firsts], pairs)] != np.arange(len(a))
+
+
+def _merged(strings: DataFrame) -> DataFrame:
+    """row, start, more of the strings that another shard has at an earlier place; a range of hashes is in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols = [np.concatenate(c) for c in zip(*([x.to_numpy() for x in b.columns] for b in batches if b.num_rows), strict=True)]
+        if cols:
+            row, start, doc, a, b = cols
+            gone = earlier_strings(a, b, (doc, row, start))
+            yield pa.record_batch([pa.array(row[gone]), pa.array(start[gone]), pa.array(np.zeros(int(gone.sum()), np.int32))], ["row", "start", "more"])
 
-    return fetched.repartition("key").sortWithinPartitions("key").select("key", "doc", "row", "start", "bytes").mapInArrow(run, "row long, start long, more int")
+    return strings.select("row", "start", "doc", "a", "b").repartitionByRange("a", "b").mapInArrow(run, "row long, start long, more int")
 
 
 def kept_ranges(size: int, starts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -355,12 +419,15 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     kept: the bytes that are left, or with digest their SHA-256 in hexadecimal, as text in UTF-8.
     """
-    parts = shuffle_parts(docs.sparkSession)
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), id_of(docs), F.coalesce("text", F.lit("")).alias("text"))
+    texts = stored(docs.select(F.monotonically_increasing_id().alias("row"), id_of(docs), F.coalesce("text", F.lit("")).alias("text")), "texts")
+    parts = max(shuffle_parts(docs.sparkSession), 2 * texts.rdd.getNumPartitions())
     marked = stored(_marked(_contexts(texts, parts), parts), "marked")
-    wants = marked.where("key IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("start", "more", "key")).alias("wants"))
+    differ = marked.where("key IS NOT NULL")
+    crowded = differ.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOT).select("key", F.ceil(F.col("n") / LOT).cast("int").alias("lots"))
+    lot = F.when(F.col("lots").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("row", "start"), F.col("lots"))).cast("int")
+    wants = differ.join(stored(crowded, "crowded"), "key", "left").groupBy("row").agg(F.collect_list(F.struct("start", "more", "key", lot.alias("lot"))).alias("wants"))
     dealt = texts.repartition("row")
-    fetched = _fetched(dealt.join(wants, "row").select("row", "doc_id", "text", "wants"))
-    gone = marked.where("key IS NULL").select("row", "start", "more").unionByName(_by_suffixes(fetched))
+    solved = stored(_by_suffixes(_fetched(dealt.join(wants, "row").select("row", "doc_id", "text", "wants"))), "solved")
+    gone = marked.where("key IS NULL").select("row", "start", "more").unionByName(solved.where("more IS NOT NULL").select("row", "start", "more")).unionByName(_merged(solved.where("more IS NULL")))
     spans = gone.groupBy("row").agg(F.collect_list(F.struct("start", "more")).alias("spans"))
     return _removed(dealt.join(spans, "row", "left"), digest)
