@@ -54,12 +54,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def chunks(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows that have about most bytes together."""
+def chunks(column: pa.Array, most: int = CHUNK, rows: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows that have about most bytes together, and at most so many rows."""
     data, at = buffers(column)
     row, n = 0, len(at) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        end = end if rows is None else min(end, row + rows)
         yield row, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
 

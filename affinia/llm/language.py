@@ -33,7 +33,8 @@ DIM = 1 << BITS
 PER_LANG, CENTROIDS, ROUNDS = 400, 4, 8
 #: The share of fitted rows that would be rejected.
 REJECT = 0.002
-CHUNK = 1 << 18
+#: Bytes and rows that are counted together: a row's counts are DIM numbers.
+CHUNK, ROWS = 1 << 18, 128
 
 #: Letters and the bytes of other scripts stay; anything else is a gap.
 _KEPT = LOWER.copy()
@@ -42,7 +43,7 @@ _KEPT[:65] = _KEPT[91:97] = _KEPT[123:128] = 32
 
 def counts(column: pa.Array) -> Iterator[np.ndarray]:
     """Trigram counts, a row for each text, some texts at once."""
-    for _, data, at in chunks(column, CHUNK):
+    for _, data, at in chunks(column, CHUNK, ROWS):
         c = np.concatenate((_KEPT[data], [32, 32])).astype(U)
         codes = (mix(c[:-2] << U(16) | c[1:-1] << U(8) | c[2:]) >> U(64 - BITS)).astype(np.int64)
         inside = np.maximum(np.diff(at) - 2, 0)

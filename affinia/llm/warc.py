@@ -3,16 +3,19 @@
 `write_archives` writes one WARC/1.1 record per page: of equal payloads the page with the largest id is
 a response, the others are revisits of it, without the payload. `read_archives` reads the files back,
 checks each payload against its digest and gives one index row per record; each file's rows are sorted
-by URL key, time and page: a sorted run. `merged_index` deals the runs by range and merges what each
-partition has of them with a loser tree, so that the output's partitions, in order, hold the capture
-histories of all URLs in order.
+by URL key, time and page: a sorted run. `merged_index` deals the runs by range, Spark's sorter (which
+spills) puts each partition's part of a run together, and a loser tree merges those parts as they are
+read, so that the output's partitions, in order, hold the capture histories of all URLs in order. A
+partition's parts are held as Arrow columns; of each run only a few rows are Python objects at a time.
 
-Archives are gzip files in the shared folder, written and read by Spark alone. Payloads cross one
-shuffle, by their digest, in which Spark can split a hot payload.
+Archives are gzip files in the shared folder, written and read by Spark alone, which writes a file as one
+gzip member; a record's place is that in the unpacked file. Files are unpacked piece by piece. Payloads
+cross one shuffle, by their digest, in which Spark can split a hot payload.
 
 Defined results: null html is an empty payload, a null url an empty one; a null page_id is never the
 page referred to unless all its copies have none. Rows that repeat the id and the payload of a response
-are responses too. Line breaks in a url are percent-encoded. A capture's time is the page's id in
+are responses too, and rows with one id have one WARC-Record-ID. A payload may be as long as Spark's
+strings; its record is in memory as a whole. Line breaks in a url are percent-encoded. A capture's time is the page's id in
 seconds after a fixed day. Extra columns are ignored. An empty table gives an empty index.
 """
 
@@ -24,6 +27,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +36,7 @@ from affinia.llm.common import new_path, stored
 #: Payloads of fewer bytes are never revisits.
 MIN_BYTES = 0
 #: Records of a file, so that a task can hold a file.
-PER_FILE = 10_000
+PER_FILE = 5_000
 #: Seconds of the first capture (2020-01-01).
 EPOCH = 1_577_836_800
 _HEX5 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -77,24 +81,48 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> N
     joined.select(F.concat(head, block, F.lit("\r\n\r")).alias("value")).write.option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
 
 
-def records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of each record of an archive; gzip members may be many."""
-    parts = []
+def _unpacked(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The unpacked bytes of a gzip file of one or more members, piece by piece."""
     while content:
         z = zlib.decompressobj(31)
-        parts.append(z.decompress(content) + z.flush())
+        while not z.eof:
+            piece = z.decompress(content, size)
+            content = z.unconsumed_tail
+            if piece:
+                yield piece
+            elif not content and not z.eof:
+                raise ValueError("the archive ends within a gzip member")
         content = z.unused_data
-    data, at = b"".join(parts), 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+
+
+def records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(place, headers, block) of each record of an archive."""
+    pieces, held, at = _unpacked(content), bytearray(), 0
+
+    def reach(n: int) -> bool:
+        while len(held) < n:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while reach(1):
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not reach(len(held) + 1):
+                raise ValueError(f"the record at byte {at} has no end of its headers")
+        lines = held[:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no record at byte {at}")
-        headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        headers = {k.lower(): v.removeprefix(" ") for k, _, v in (x.partition(":") for x in lines[1:])}
         start = end + 4
         stop = start + int(headers["content-length"])
-        yield at, headers, data[start:stop]
-        at = stop + 4
+        if not reach(stop):
+            raise ValueError(f"the record at byte {at} is cut off")
+        reach(stop + 4)
+        yield at, headers, bytes(held[start:stop])
+        del held[: stop + 4]
+        at += stop + 4
 
 
 def url_key(url: str) -> str:
@@ -192,23 +220,34 @@ class LoserTree:
             self.winner = w
 
 
+def _rows_of(pieces: list[pa.RecordBatch], size: int = 256) -> Iterator[tuple]:
+    for piece in pieces:
+        for low in range(0, piece.num_rows, size):
+            yield from zip(*(c.to_pylist() for c in piece.slice(low, size).columns), strict=True)
+
+
 def merged_index(runs: DataFrame) -> DataFrame:
     """The rows of all runs in order of URL key and time: partition after partition, and within each.
 
     A partition takes a range of (key, time, page) from each run and merges the pieces; equal keys
     may lie in neighbouring partitions, so one URL of many captures is not one task.
     """
+    order = ["url_key", "captured_at", "page_id", "file", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
+        parts: list[list[pa.RecordBatch]] = []
+        last = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pieces.setdefault(row[8], []).append(row)
-        # A shuffle may mix up the blocks of a run; sorting a sorted run costs one pass.
-        tree = LoserTree([iter(sorted(p, key=order_of)) for p in pieces.values()])
-        yield from _batches(tree, _arrow_schema())
-
-    return runs.repartitionByRange("url_key", "captured_at", "page_id", "file", "at").mapInArrow(run, INDEX)
+            found = pc.run_end_encode(batch.column(8))
+            low = 0
+            for file, high in zip(found.values.to_pylist(), found.run_ends.to_pylist(), strict=True):
+                if file != last:
+                    parts.append([])
+                parts[-1].append(batch.slice(low, high - low))
+                low, last = high, file
+        yield from _batches(LoserTree([_rows_of(p) for p in parts]), _arrow_schema())
+
+    return runs.repartitionByRange(*order).sortWithinPartitions("file", *order[:3], "at").mapInArrow(run, INDEX)
 
 
 def archived(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
