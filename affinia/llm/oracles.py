@@ -25,7 +25,7 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^
            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
      c AS (SELECT *, CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496e0
                                                   < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM x)
-SELECT doc_id, size, source_size, round(target, 3) AS target, size * copies AS taken, copies FROM c
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
 
 # Base32 of a SHA-1: each five hexadecimal digits are four digits of base32.

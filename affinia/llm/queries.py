@@ -27,7 +27,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinia.llm.mixing import measured, rates
 
     return rates(measured(read(spark, sf_dir, "documents"))).select(
-        "doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("size") * F.col("copies")).alias("taken"), "copies"
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
     )
 
 
@@ -48,7 +48,7 @@ def op6_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from affinia.llm.personal import find
 
     found = find(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_spans")
 
 
 def model_bytes() -> bytes:

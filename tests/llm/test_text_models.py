@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +58,33 @@ def test_thresholds_are_ordered(rated):
     assert (np.diff(model.thresholds) > 0).all() and model.weights.max() <= 0
 
 
+def test_quality_of_held_out_documents(spark):
+    """Labelled documents of the tables: most clean ones are kept, hardly any of low quality, and fewer toxic ones."""
+    from affinia.llm.common import read
+
+    sf = "/root/testdata/sf0.01"
+    if not Path(sf).exists():
+        pytest.skip("no tables")
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    learned = labels.where("doc_id % 3 <> 1")
+    rows = quality.classify(docs, learned).join(labels.where("doc_id % 3 = 1"), "doc_id").collect()
+    share = lambda some: sum(r.kept for r in some) / len(some)
+    assert share([r for r in rows if r.quality and not r.toxic]) >= 0.95
+    assert share([r for r in rows if not r.quality]) <= 0.05
+    assert share([r for r in rows if r.quality and r.toxic]) <= 0.5
+
+
+def test_quality_of_long_texts_and_clashing_names(spark, docs_of, rated):
+    docs, labels = rated
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rnd = random.Random(4)
+    long_ = " ".join(rnd.choice(("tree", "river", "house", "walks", "slowly")) for _ in range(100_000))
+    table = docs_of([*docs, (700, long_), (701, long_ + " idiotic"), (702, "zzz%%%" * 200_000)]).withColumnRenamed("size", "kept").withColumnRenamed("source", "p_good")
+    kept = quality.select(table, known)
+    ids = {r.doc_id for r in kept.collect()}
+    assert kept.columns == table.columns and 701 not in ids and len(ids & {i for i, q, t in labels if q and not t}) > 280
+
+
 def test_no_labels_keep_all(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.p_good for r in quality.classify(docs_of([(1, "a")]), none).collect()} == {0.5}
@@ -102,6 +132,91 @@ def test_contexts_find_other_shapes(docs_of):
     assert [got[len(rows) + i] for i in range(len(odd))] == list(odd.values())
 
 
+def bootstrap_by_hand(tokens, rounds, seeds, least, doubt):
+    """The loop on plain sets. tokens: (kind or None, value of four digits, pattern)."""
+    edges = set(tokens)
+    size = Counter(p for _, _, p in edges)
+    fixed = Counter((p, k) for k, _, p in edges if k is not None and size[p] > 1)
+    tied = defaultdict(list)
+    for k, v, p in edges:
+        if k is None and size[p] > 1:
+            tied[v].append(p)
+    scored = {x: (n / size[x[0]], n) for x, n in fixed.items()}
+    for _ in range(rounds if tied else 0):
+        good, grown = defaultdict(float), Counter()
+        for v, patterns in tied.items():
+            of = {k: sum(scored.get((p, k), (0, 0))[0] for p in patterns) / len(patterns) for k in (1, 2, 3) if any((p, k) in scored for p in patterns)}
+            if of:
+                sure = {k: math.prod(1 - min(x, 0.999999) for x, n in (scored.get((p, k), (0, 0)) for p in patterns) if n >= seeds and x >= least) for k in of}
+                k = min(of, key=lambda k: (sure[k], k))
+                if sure[k] <= doubt:
+                    of[k] = 1.0
+                    grown.update((p, k) for p in patterns)
+            for k, x in of.items():
+                for p in patterns:
+                    good[p, k] += x
+        scored = {(p, k): ((fixed[p, k] + good[p, k]) / size[p], fixed[p, k] + grown[p, k]) for p, k in set(fixed) | set(good)}
+    best = {}
+    for (p, k), (x, n) in scored.items():
+        if n >= seeds and x >= least:
+            best[p] = max(best.get(p, (0, -9)), (x, -k))
+    return {p: (-k, x) for p, (x, k) in best.items()}
+
+
+def test_bootstrapping_like_by_hand(spark):
+    rnd = random.Random(3)
+    tokens = []
+    for v in range(300):
+        kind = rnd.choice((None, None, 0, 1, 3))
+        home = rnd.randrange(12)
+        for _ in range(rnd.randint(1, 4)):
+            tokens.append((kind, f"{1000 + v}", f"p{rnd.choice((home, home, rnd.randrange(40)))}"))
+    tokens += [(k, f"{2000 + i}", "sure") for i in range(90) for k in (2,)] + [(None, f"{3000 + i}", p) for i in range(9) for p in ("sure", "next")] + [(None, f"{4000 + i}", p) for i in range(4) for p in ("next", "last")]
+    df = spark.createDataFrame(tokens, "kind int, value string, pattern string")
+    for rounds, seeds, least in ((0, 5, 0.6), (1, 3, 0.4), (4, 5, 0.6)):
+        got = {r.pattern: (r.kind, r.score) for r in personal.bootstrapped(df, rounds, seeds, least).collect()}
+        want = bootstrap_by_hand(tokens, rounds, seeds, least, personal.DOUBT)
+        assert {p: k for p, (k, _) in got.items()} == {p: k for p, (k, _) in want.items()}
+        assert all(got[p][1] == pytest.approx(want[p][1]) for p in want)
+    assert "next" in got and "sure" in got
+
+
+def test_planted_identifiers_are_found(docs_of):
+    """Unseen shapes in contexts that seeds share, and in contexts that only found identifiers share, among other tokens."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 7)))
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    seed = [lambda: f"{word()}@{word()}.org", lambda: f"10.{rnd.randrange(256)}.{rnd.randrange(256)}.{rnd.randrange(256)}", lambda: f"+49 {digits(3)} {digits(6)}"]
+    odd = [lambda: f"{word()}(at){word()}", lambda: f"fe80::{word()[:2].translate(str.maketrans('ghijklmnop', 'abcdefabcd'))}:{digits(2)}:a", lambda: f"0{digits(2)}-{digits(3)}-{digits(2)}"]
+    first = [("mail me at", "or call"), ("from host address", "came traffic"), ("please ring number", "after six")]
+    then = [("my inbox is", "today"), ("blocked node", "again"), ("fax line", "works")]
+    text = lambda left, x, right: " ".join([*(word() for _ in range(9)), left, x, right, *(word() for _ in range(9))])
+    rows, want = [], {}
+    for k in range(3):
+        rows += [text(first[k][0], seed[k](), first[k][1]) for _ in range(25)]
+        for i in range(40):
+            x = odd[k]()
+            pairs = [first[k]] if i < 20 else [then[k]]
+            if i < 10:
+                pairs.append(then[k])  # the same identifier in a context that no seed has
+            for left, right in pairs:
+                t = text(left, x, right)
+                want[len(rows)] = (personal.KINDS[(0, 1, 3)[k]], t.index(f" {x} ") + 1, x)
+                rows.append(t)
+    others = [text(rnd.choice(("in the year", "page", "total of", "room")), rnd.choice((digits(4), f"{digits(2)}.{digits(2)}.{digits(2)}", digits(6))), rnd.choice(("it rained", "was read", "euros", "is free"))) for _ in range(150)]
+    got = {r.doc_id: r for r in personal.find(docs_of(list(enumerate(rows + others)))).collect()}
+    hits = sum(got[i].spans == f"{kind}:{at}:{at + len(x)}" for i, (kind, at, x) in want.items())
+    wrong = sum(got[len(rows) + i].n_spans for i in range(len(others)))
+    assert hits >= 0.9 * len(want) and wrong <= 0.05 * len(others), (hits, len(want), wrong)
+
+
+def test_personal_data_in_repeats_and_long_texts(docs_of):
+    long_ = "x" * 300_000 + " a@b.cc " + "1.2.3.4," * 2000 + " 5 " * 100_000
+    rows = [(1, long_), (1, long_), (None, "a@b.cc"), (2, "a@b.cc " * 5000)]
+    got = sorted(((r.doc_id or 0, r.n_email, r.n_ip, r.n_spans) for r in personal.find(docs_of(rows)).collect()))
+    assert got == [(0, 1, 0, 1), (1, 1, 2000, 2001), (1, 1, 2000, 2001), (2, 5000, 0, 5000)]
+
+
 def test_pieces(docs_of):
     import sentencepiece
 
