@@ -136,24 +136,25 @@ def peeled(difference: Column, cells: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), start, step, lambda s: F.when(F.forall(s["all"], empty), s["found"]))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """How many digests are in one of two arrays only: by sketches, larger ones on failure."""
+def differing(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
+    """How many digests are in one of two arrays only: by their fingerprints' cells, and by larger sketches on failure."""
     apart = F.abs(F.size(a) - F.size(b))
-    tries = [F.when(apart <= cells, peeled(subtract(sketch(a, cells), sketch(b, cells)), cells)) for cells in TRIES]
+    first = F.when(apart <= CELLS, peeled(subtract(of_a, of_b), CELLS))
+    tries = [F.when(apart <= cells, peeled(subtract(sketch(a, cells), sketch(b, cells)), cells)) for cells in TRIES[1:]]
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(*tries, exact)
+    return F.coalesce(first, *tries, exact)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Common over all digests of two arrays, from the number that differ."""
+def likeness(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
+    """Common over all digests of two arrays, from the number that differ. of_a, of_b: their fingerprints' cells."""
     both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(bound(differing(a, b), lambda d: (both - d) / (both + d)))
+    return F.when(both == 0, F.lit(1.0)).otherwise(bound(differing(a, b, of_a, of_b), lambda d: (both - d) / (both + d)))
 
 
-def written(keys: Column) -> Column:
-    """The fingerprint of an array of digests: its sketch as text."""
+def written(cells: Column) -> Column:
+    """A sketch as text: the fingerprint."""
     line = lambda c: F.concat(F.hex(c["n"]), F.lit("."), F.lpad(F.hex(c["key"]), 16, "0"))
-    return F.array_join(F.transform(sketch(keys), line), ":")
+    return F.array_join(F.transform(cells, line), ":")
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -188,13 +189,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("head"), F.lit(1), quarter))
     rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_keys")
     keyed = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
-    keys = F.col("keys")
-    return keyed.select(
+    sketched = keyed.select("*", *[sketch(F.col(c)).alias(f"{c}_cells") for c in ("keys", "edited_keys", "next_keys")])
+    like = lambda other: likeness(F.col("keys"), F.col(other), F.col("keys_cells"), F.col(f"{other}_cells"))
+    return sketched.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        written(keys).alias("fingerprint"),
-        written(F.col("edited_keys")).alias("edited_fingerprint"),
-        likeness(keys, F.col("edited_keys")).alias("near_edited"),
-        likeness(keys, F.col("next_keys")).alias("near_next"),
+        written(F.col("keys_cells")).alias("fingerprint"),
+        written(F.col("edited_keys_cells")).alias("edited_fingerprint"),
+        like("edited_keys").alias("near_edited"),
+        like("next_keys").alias("near_next"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -255,6 +256,20 @@ def test_fingerprints(docs_of):
     assert IB.fingerprints(docs_of([])).count() == 0
 
 
+def test_a_fingerprint_holds_all_digests_three_times(docs_of):
+    """Each third of the cells counts every distinct digest once, and its keys' xor is that of all digests."""
+    texts = ["\n".join(f"l{i}" for i in range(n)) for n in (0, 1, 5, 40, 300)]
+    rows = IB.fingerprints(docs_of([*enumerate(texts), (4, "another text\nof the same id")])).collect()
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2, 3, 4, 4]
+    for r in rows:
+        cells = [c.split(".") for c in r.fingerprint.split(":")]
+        assert len(cells) == IB.CELLS
+        parts = [cells[k : k + IB.CELLS // 3] for k in range(0, IB.CELLS, IB.CELLS // 3)]
+        sums = {(sum(int(n, 16) for n, _ in p), functools.reduce(lambda x, c: x ^ int(c[1], 16), p, 0)) for p in parts}
+        want = len({x for x in texts[r.doc_id].split("\n") if x}) if r.n_chars == len(texts[r.doc_id]) else 2
+        assert len(sums) == 1 and sums.pop()[0] == want
+
+
 def test_a_long_line_edited_in_part_stays_near(docs_of):
     rnd = random.Random(4)
     words = ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(3000)]
@@ -269,7 +284,7 @@ def test_a_long_line_edited_in_part_stays_near(docs_of):
 
 def test_peeling_recovers_or_fails(spark):
     a, b = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda x: F.xxhash64(x)), F.transform(F.sequence(F.lit(8), F.lit(42)), lambda x: F.xxhash64(x))
-    row = spark.range(1).select(IB.peeled(IB.subtract(IB.sketch(a, 24), IB.sketch(b, 24)), 24).alias("few"), IB.peeled(IB.subtract(IB.sketch(a, 24), IB.sketch(F.array().cast("array<bigint>"), 24)), 24).alias("many"), IB.differing(a, b).alias("d")).first()
+    row = spark.range(1).select(IB.peeled(IB.subtract(IB.sketch(a, 24), IB.sketch(b, 24)), 24).alias("few"), IB.peeled(IB.subtract(IB.sketch(a, 24), IB.sketch(F.array().cast("array<bigint>"), 24)), 24).alias("many"), IB.differing(a, b, IB.sketch(a), IB.sketch(b)).alias("d")).first()
     assert row.few == row.d == 9 and row.many is None
 
 
