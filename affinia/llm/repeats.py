@@ -18,8 +18,8 @@ smaller id, or earlier in the same one. Matches never cross documents and are ju
 4. Shards that share an anchor are merged: their distinct strings (two 64-bit hashes each, with the first
    place) are dealt by range, and each is looked up by binary search among those with an earlier place.
 
-Texts are stored with their row numbers first, and cross one shuffle, used by the fetch and by the
-final removal.
+Texts are stored first with their row numbers, in parts by these: that is the one shuffle that they
+cross, as the fetch and the final removal read them part by part.
 
 Defined results: a null text is empty. Rows with a null id come last, and rows with equal ids in the
 order in which they are read; each is a document of its own. Texts of fewer than LENGTH bytes stay
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.common import id_of, shuffle_parts, stored
+from affinia.llm.common import bucketed, id_of, shuffle_parts, stored
 from affinia.llm.hashing import U, buffers, chunks, mix, powers
 
 LENGTH, GRAM = 100, 32
@@ -419,15 +419,15 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
 
     kept: the bytes that are left, or with digest their SHA-256 in hexadecimal, as text in UTF-8.
     """
-    texts = stored(docs.select(F.monotonically_increasing_id().alias("row"), id_of(docs), F.coalesce("text", F.lit("")).alias("text")), "texts")
-    parts = max(shuffle_parts(docs.sparkSession), 2 * texts.rdd.getNumPartitions())
+    parts = max(shuffle_parts(docs.sparkSession), 2 * docs.rdd.getNumPartitions())
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), id_of(docs), F.coalesce("text", F.lit("")).alias("text"))
+    texts = bucketed(texts, "texts", "row", parts)
     marked = stored(_marked(_contexts(texts, parts), parts), "marked")
     differ = marked.where("key IS NOT NULL")
     crowded = differ.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOT).select("key", F.ceil(F.col("n") / LOT).cast("int").alias("lots"))
     lot = F.when(F.col("lots").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("row", "start"), F.col("lots"))).cast("int")
     wants = differ.join(stored(crowded, "crowded"), "key", "left").groupBy("row").agg(F.collect_list(F.struct("start", "more", "key", lot.alias("lot"))).alias("wants"))
-    dealt = texts.repartition("row")
-    solved = stored(_by_suffixes(_fetched(dealt.join(wants, "row").select("row", "doc_id", "text", "wants"))), "solved")
+    solved = stored(_by_suffixes(_fetched(texts.join(wants, "row").select("row", "doc_id", "text", "wants"))), "solved")
     gone = marked.where("key IS NULL").select("row", "start", "more").unionByName(solved.where("more IS NOT NULL").select("row", "start", "more")).unionByName(_merged(solved.where("more IS NULL")))
     spans = gone.groupBy("row").agg(F.collect_list(F.struct("start", "more")).alias("spans"))
-    return _removed(dealt.join(spans, "row", "left"), digest)
+    return _removed(texts.join(spans, "row", "left"), digest)
