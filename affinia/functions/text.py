@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Words whose final s is not a plural, and the hosts of lists with the shape of their paths.
-NEVER_FOLD = ("news", "series", "species", "politics", "economics", "mathematics", "physics", "ethics", "athletics", "gymnastics", "aerobics", "chess", "texas", "paris", "james", "christmas")
+# Words that are never folded, the hosts of lists, and the priority of ids.
+NEVER_FOLD = ("aids", "alps", "arms", "cruces", "customs", "falls", "interspecies", "it's", "las", "mars", "ops", "ss", "states", "vis", "wales", "woods")
 LIST_HOSTS = ("mdblist.com", "letterboxd.com")
 ID_PRIORITY = ("imdb", "tmdb", "tvdb", "plex")
 
@@ -24,7 +25,7 @@ def fold_plural(word: Column) -> Column:
     """The singular by a few rules of English spelling; no dictionary is used, so rare words may differ."""
     n = F.char_length(word)
     return (
-        F.when(word.isin(*NEVER_FOLD) | (n < 4), word)
+        F.when(word.isin(*NEVER_FOLD) | (n < 4) | word.rlike("(ics|news|eries|ecies)$"), word)
         .when(word.rlike("[^aeiou]ies$"), F.concat(F.substring(word, F.lit(1), n - 3), F.lit("y")))
         .when(word.rlike("(s|x|ch|sh)es$"), F.substring(word, F.lit(1), n - 2))
         .when(word.rlike("(ss|us|is)$"), word)
@@ -87,15 +88,18 @@ def canonical_path(path: Column, roots: Sequence[str]) -> Column:
 def fnv1a(text: pd.Series) -> pd.Series:
     """FNV-1a of 64 bits, in 16 hexadecimal digits."""
 
-    def one(s: str | None) -> str | None:
-        if s is None:
-            return None
-        h = 0xCBF29CE484222325
-        for b in s.encode():
-            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-        return f"{h:016x}"
-
-    return text.map(one, na_action="ignore")
+    known = text.dropna()
+    rows = [s.encode() for s in known]
+    sizes = np.array([len(r) for r in rows], np.int64)
+    order = np.argsort(-sizes, kind="stable")  # the longest first: those still running are a prefix
+    starts, data = (np.cumsum(sizes) - sizes)[order], np.frombuffer(b"".join(rows), np.uint8)
+    hashes, left = np.full(len(rows), 0xCBF29CE484222325, np.uint64), sizes[order]
+    for k in range(int(sizes.max(initial=0))):  # one step for each position, all rows together
+        n = int(np.searchsorted(-left, -k, "left"))
+        hashes[:n] = (hashes[:n] ^ data[starts[:n] + k]) * np.uint64(0x100000001B3)
+    out = pd.Series([None] * len(rows), index=known.index, dtype=object)
+    out.iloc[order] = [f"{h:016x}" for h in hashes.tolist()]
+    return out.reindex(text.index).where(text.notna(), None)
 
 
 def item_id(ids: Mapping[str, Column], path: Column) -> Column:
@@ -131,6 +135,46 @@ def path_segment(text: Column) -> Column:
     return F.regexp_replace(clean, r"[. ]+$", "")
 
 
+def percent_plain(text: Column) -> Column:
+    """A path with its percent-encoding undone, a plus sign as it is; one that can't be decoded stays."""
+    return F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+
+
+def role_of(category: Column, roles: Mapping[str, str]) -> Column:
+    """The role of the nearest of a category and its ancestors ("Setting-Time" before "Setting") that has one."""
+    parts = F.split(category, "-")
+    table = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])
+    nearest = F.sequence(F.size(parts), F.lit(1), F.lit(-1))
+    hits = F.transform(nearest, lambda n: F.try_element_at(table, F.array_join(F.slice(parts, F.lit(1), n), "-")))
+    return F.try_element_at(F.filter(hits, lambda x: x.isNotNull()), F.lit(1))
+
+
+def inside_hours(hour: Column, start: int, end: int) -> Column:
+    """Whether an hour lies in a window that may wrap midnight; equal ends are the whole day."""
+    if start == end:
+        return hour.isNotNull()
+    return (hour >= start) & (hour < end) if start < end else (hour >= start) | (hour < end)
+
+
+def as_int(value: Column) -> Column:
+    """An integer from JSON text: whole numbers, true and false; null for anything else."""
+    return F.when(value == "true", 1).when(value == "false", 0).when(value.rlike(r"^-?[0-9]+(\.0+)?$"), F.regexp_replace(value, r"\..*$", "").cast("long")).cast("long")
+
+
+def truthy(value: Column) -> Column:
+    """Whether JSON text stands for something: not null, false, zero, or an empty string, list or object."""
+    return F.coalesce(~value.isin("", "null", "false", '""', "[]", "{}") & ~value.rlike(r"^-?0+(\.0+)?$"), F.lit(False))
+
+
+# Words by which a decoder's message is known as damage.
+DAMAGE = ("error while decoding", "invalid data", "corrupt", "concealing")
+
+
+def damage_lines(log: Column) -> Column:
+    """How many lines of a decoder's log tell of damage."""
+    return F.size(F.filter(F.split(F.lower(log), "\n"), lambda x: x.rlike("|".join(DAMAGE)))).cast("long")
+
+
 def robots_pattern(rule: str) -> str:
     """A robots.txt path as a regular expression: * is anything, a final $ is the end."""
     import re
@@ -141,8 +185,10 @@ def robots_pattern(rule: str) -> str:
 
 def robots_allowed(path: Column, allow: Sequence[str], disallow: Sequence[str]) -> Column:
     """Whether the longest rule that matches allows the path; allow wins ties, no rule allows."""
+    path = percent_plain(path)
+
     def longest(rules: Sequence[str]) -> Column:
-        hits = [F.when(path.rlike(robots_pattern(r)), F.lit(len(r))).otherwise(F.lit(-1)) for r in rules if r]
+        hits = [F.when(path.rlike(robots_pattern(r)), F.lit(len(r.encode()))).otherwise(F.lit(-1)) for r in rules if r]
         return F.greatest(*hits, F.lit(-1), F.lit(-1))
 
     return longest(allow) >= longest(disallow)

@@ -83,12 +83,18 @@ def fetch_gate(max_failures: int = 3) -> Column:
     )
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """digest: a SHA-256 over all rows in order, each value framed by its length. A gate for derived tables.
+def fingerprint(df: DataFrame, columns: Sequence[str], by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """by, digest: a SHA-256 over each group's rows in order, each value framed by its length. A gate for derived tables.
 
-    Rows are hashed each on its own and the sorted hashes are hashed together, so that a group's rows
-    cost 32 bytes each.
+    A group's rows meet as their hashes, so by should split the table; `table_digest` puts the groups together.
     """
     framed = [F.concat(F.coalesce(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns]
-    hashed = df.select(*by, F.sha2(F.concat(*framed), 256).alias("h"))
-    return hashed.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("digest"))
+    hashed = df.select(*by, F.struct(*order, F.sha2(F.concat(*framed), 256).alias("__h")).alias("__row"))
+    rows = F.transform(F.array_sort(F.collect_list("__row")), lambda r: r["__h"])
+    return hashed.groupBy(*by).agg(F.sha2(F.array_join(rows, ""), 256).alias("digest"))
+
+
+def table_digest(groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """digest: one for a whole table, of its groups' digests in order."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(*by, "digest"))), lambda r: r["digest"])
+    return groups.agg(F.sha2(F.array_join(rows, ""), 256).alias("digest"))

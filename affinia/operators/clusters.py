@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCEPT = 0.9
+_local: dict[str, str] = {}
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -16,8 +17,10 @@ def _stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="affinia-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        at = _local[app] = _local.get(app) or "file://" + tempfile.mkdtemp(prefix="affinia-")
     path = f"{at.rstrip('/')}/affinia/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,6 +65,46 @@ def folded(values: DataFrame, merges: DataFrame, column: str = "keyword") -> Dat
     return joined.select(*[F.coalesce("representative", column).alias(column) if c == column else values[c] for c in values.columns]).distinct()
 
 
+def similar_pairs(words: DataFrame, least: float) -> DataFrame:
+    """a, b, score of distinct words whose edit distance leaves at least so much of the longer one. words: keyword.
+
+    An edit changes two of a word's letter pairs (with its edges, length + 1 of them), so words of such a
+    score share all but 2 * distance of them; each word looks among its 2 * distance + 1 rarest for partners.
+    least has to be above one half, as below it nothing needs to be shared.
+    """
+    if not 0.5 < least <= 1:
+        raise ValueError("least is above 0.5, and 1 at most")
+    sized = words.select("keyword", F.char_length("keyword").alias("n")).where("n > 0").distinct()
+    framed = F.concat(F.lit("\u0002"), "keyword", F.lit("\u0003"))
+    pairs = F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: F.substring(framed, i, F.lit(2)))
+    grams = sized.select("keyword", "n", F.explode(pairs).alias("gram"))
+    each = grams.groupBy("keyword", "n", "gram").agg(F.count(F.lit(1)).alias("times"))
+    numbered = each.select("keyword", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("times").cast("int")), lambda k: F.concat("gram", k.cast("string")))).alias("gram"))
+    df = numbered.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # The longer word has up to n / least letters, and the distance up to that times 1 - least.
+    most = F.floor(F.col("n") / F.lit(least) * F.lit(1 - least) + 1e-9).cast("int")
+    rarest = F.row_number().over(Window.partitionBy("keyword").orderBy("df", "gram"))
+    short = numbered.join(df, "gram").withColumn("place", rarest).where(F.col("place") <= 2 * most + 1).select("gram", "keyword", "n")
+    other = short.select("gram", F.col("keyword").alias("b"), F.col("n").alias("m"))
+    near = (F.col("keyword") < F.col("b")) & (F.least("n", "m") + 1e-9 >= F.greatest("n", "m") * F.lit(least))
+    met = short.join(other, "gram").where(near).select(F.col("keyword").alias("a"), "b").distinct()
+    score = 1 - F.levenshtein("a", "b") / F.greatest(F.char_length("a"), F.char_length("b"))
+    return met.withColumn("score", score).where(F.col("score") + 1e-9 >= least)
+
+
+def near_duplicate_fold(pairs: DataFrame, items: DataFrame, least: float = 0.97) -> DataFrame:
+    """item, kept: which item stands for each that is folded. pairs: a, b, score; items: item, organized, since.
+
+    Pairs of such a score are one group, chains included; an organized item stays, else the earliest, else
+    the least by id.
+    """
+    groups = components(pairs.where(F.col("score") >= least).select("a", "b"))
+    order = F.struct(~F.coalesce("organized", F.lit(False)), F.col("since").isNull(), "since", "item")
+    known = groups.join(items, groups["node"] == items["item"])
+    heads = known.groupBy("root").agg(F.min_by("item", order).alias("kept"))
+    return known.join(heads, "root").where("item <> kept").select("item", "kept")
+
+
 def decision_bucket():
     """accepted or 0.9 and more: merged; rejected: rejected; 0.5 and more: proposed."""
     return F.when(F.col("decision") == "accepted", "merged").when(F.col("decision") == "rejected", "rejected").when(F.col("score") >= ACCEPT, "merged").when(F.col("score") >= 0.5, "proposed")
@@ -70,7 +113,8 @@ def decision_bucket():
 def device_clusters(plays: DataFrame, ip_plays: int = 2, ip_accounts: int = 1, floor: int = 20) -> DataFrame:
     """device, cluster, tier: devices joined by an address that is seen often enough by few accounts.
 
-    plays: account, device, ip. Clusters of fewer plays than floor are unclustered.
+    plays: account, device, ip, and perhaps platform. Clusters of fewer plays than floor are put together
+    by platform, and those that are still too small, or have none, are unclustered.
     """
     good = plays.where("ip IS NOT NULL").groupBy("ip").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("account").alias("accounts")).where((F.col("n") >= ip_plays) & (F.col("accounts") <= ip_accounts))
     seen = plays.join(good, "ip", "left_semi").select(F.concat(F.lit("d:"), "device").alias("a"), F.concat(F.lit("i:"), "ip").alias("b")).distinct()
@@ -78,5 +122,14 @@ def device_clusters(plays: DataFrame, ip_plays: int = 2, ip_accounts: int = 1, f
     counts = plays.groupBy("device").agg(F.count(F.lit(1)).alias("plays"))
     named = counts.join(groups, "device", "left").withColumn("cluster", F.coalesce("cluster", F.concat(F.lit("d:"), "device")))
     sizes = named.groupBy("cluster").agg(F.sum("plays").alias("total"), F.count(F.lit(1)).alias("devices"))
-    tier = F.when(F.col("total") < floor, "unclustered").when(F.col("devices") > 1, "ip").otherwise("device")
-    return named.join(sizes, "cluster").select("device", "cluster", "plays", tier.alias("tier"))
+    small = F.col("total") < floor
+    tier = F.when(small, "unclustered").when(F.col("devices") > 1, "ip").otherwise("device")
+    placed = named.join(sizes, "cluster").select("device", "cluster", "plays", tier.alias("tier"))
+    if "platform" not in plays.columns:
+        return placed
+    of = plays.where("platform IS NOT NULL").groupBy("device").agg(F.min("platform").alias("platform"))
+    rest = placed.join(of, "device", "left").withColumn("platform", F.when(F.col("tier") == "unclustered", F.col("platform")))
+    totals = rest.where("platform IS NOT NULL").groupBy("platform").agg(F.sum("plays").alias("of_platform")).where(F.col("of_platform") >= floor)
+    known = rest.join(totals, "platform", "left").withColumn("in", F.col("of_platform").isNotNull())
+    cluster = F.when(F.col("in"), F.concat(F.lit("p:"), "platform")).otherwise(F.col("cluster"))
+    return known.select("device", cluster.alias("cluster"), "plays", F.when(F.col("in"), "platform").otherwise(F.col("tier")).alias("tier"))

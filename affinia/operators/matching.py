@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinia.operators.ranking import first_per_group
@@ -29,7 +30,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], wind
 def greedy_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], window: int = WINDOW_S) -> DataFrame:
     """As nearest_in_time, but one to one: left rows in order of their id claim the nearest row still free.
 
-    Keys with rows on both sides are solved each in a task of their own: an event log of one account and item.
+    A key's rows are cut where more than the window passes without any: no match reaches across. Each such
+    stretch with rows on both sides is solved on its own.
     """
     a = left.select(*keys, F.col("left_id").alias("id"), "t", F.lit(0).alias("side"))
     b = right.select(*keys, F.col("right_id").alias("id"), "t", F.lit(1).alias("side"))
@@ -38,13 +40,18 @@ def greedy_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], windo
         free = sorted(zip(pdf[pdf.side == 1].t, pdf[pdf.side == 1].id, strict=True))
         out = []
         for id_, t in sorted(zip(pdf[pdf.side == 0].id, pdf[pdf.side == 0].t, strict=True)):
-            near = min(((abs(u - t), u, other) for u, other in free), default=None)
-            if near and near[0] <= window:
-                out.append((id_, near[2], near[0]))
-                free.remove((near[1], near[2]))
+            at = bisect_left(free, (t,))
+            near = [i for i in (bisect_left(free, (free[at - 1][0],)) if at else -1, at) if 0 <= i < len(free)]
+            best = min(near, key=lambda i: (abs(free[i][0] - t), free[i]), default=None)
+            if best is not None and abs(free[best][0] - t) <= window:
+                u, other = free.pop(best)
+                out.append((id_, other, abs(u - t)))
         return pd.DataFrame(out, columns=["left_id", "right_id", "delta"]).astype("int64")
 
-    return a.unionByName(b).groupBy(*keys).applyInPandas(claim, "left_id long, right_id long, delta long")
+    by_time = Window.partitionBy(*keys).orderBy("t", "side", "id")
+    gap = F.coalesce((F.col("t") - F.lag("t").over(by_time) > window).cast("int"), F.lit(0))
+    both = a.unionByName(b).withColumn("__gap", gap).withColumn("__part", F.sum("__gap").over(by_time)).drop("__gap")
+    return both.groupBy(*keys, "__part").applyInPandas(claim, "left_id long, right_id long, delta long")
 
 
 def resolved(entries: DataFrame, ids: DataFrame, priority: Sequence[str]) -> DataFrame:

@@ -49,11 +49,10 @@ def lifted(tagged: DataFrame, top: int = 5) -> DataFrame:
 
 
 def co_tags(tagged: DataFrame, anchor: str) -> DataFrame:
-    """other, shared, df of the tags on titles that have the anchor; only its titles are joined."""
-    titles = tagged.where(F.col("tag") == anchor).select("title")
-    shared = tagged.join(titles, "title", "left_semi").where(F.col("tag") != anchor).groupBy("tag").agg(F.count(F.lit(1)).alias("shared"))
-    df = tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
-    return shared.join(df, "tag").select(F.col("tag").alias("other"), "shared", "df").orderBy(F.desc("shared"), "other")
+    """other, shared, df of the tags on titles that have the anchor: one aggregate counts both."""
+    titles = tagged.where(F.col("tag") == anchor).select("title", F.lit(1).alias("__has"))
+    counted = tagged.join(titles, "title", "left").where(F.col("tag") != anchor).groupBy("tag").agg(F.count("__has").alias("shared"), F.count(F.lit(1)).alias("df"))
+    return counted.where("shared > 0").select(F.col("tag").alias("other"), "shared", "df").orderBy(F.desc("shared"), "other")
 
 
 def network(tagged: DataFrame, least_df: int = 3, top: int = 6) -> DataFrame:

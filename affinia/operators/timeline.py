@@ -43,3 +43,19 @@ def islands(rows: DataFrame, by: str, order: str, value: Column) -> DataFrame:
     change = F.when(value.eqNullSafe(F.lag(value).over(w)), 0).otherwise(1)
     marked = rows.withColumn("__change", change).withColumn("island", F.sum("__change").over(w))
     return marked.groupBy(by, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def longest_run(rows: DataFrame, by: str, order: str, value: Column) -> DataFrame:
+    """by, first, last, n of each one's longest run of equal values, the earliest of equally long ones."""
+    best = islands(rows, by, order, value).groupBy(by).agg(F.max(F.struct("n", (-F.col("first")).alias("minus"), "last")).alias("x"))
+    return best.select(by, (-F.col("x.minus")).alias("first"), F.col("x.last").alias("last"), F.col("x.n").alias("n"))
+
+
+def landing(bars: DataFrame, by: str, order: str, value: str, wide: int = 4, aligned: int = 8, share: float = 0.8) -> DataFrame:
+    """by, bar: the first aligned bar (from 0) whose mean with the next ones reaches a share of the peak of such means."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(by).orderBy(order)
+    means = bars.select(by, (F.row_number().over(w) - 1).alias("bar"), F.round(F.avg(value).over(w.rowsBetween(0, wide - 1)), 6).alias("mean"))
+    peak = means.withColumn("peak", F.max("mean").over(Window.partitionBy(by)))
+    return peak.where((F.col("bar") % aligned == 0) & (F.col("mean") >= F.col("peak") * share)).groupBy(by).agg(F.min("bar").cast("long").alias("bar"))

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from affinia.operators.ranking import top_per_group
 
 
+#: Rows of a block in a product of all pairs.
+BLOCK = 1024
+
+
 def dot(a: Column, b: Column) -> Column:
     """The inner product, summed in order in double."""
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -97,11 +101,13 @@ def chamfer(frames: DataFrame, candidates: DataFrame) -> DataFrame:
     return ways[0].join(ways[1], ["a", "b"]).select("a", "b", F.round(F.least("mean_ta", "mean_tb"), 6).alias("score"))
 
 
-def nearest_vectors(rows: DataFrame, top: int, least: float, blocks: int = 8) -> DataFrame:
+def nearest_vectors(rows: DataFrame, top: int, least: float, per_block: int = BLOCK) -> DataFrame:
     """id, other, cosine, place: all pairs in blocks, as products of matrices. rows: id, vector.
 
-    Each pair of blocks is a group; a group's rows give their top-k, and the best of those remain.
+    Each pair of blocks of about per_block rows is a group; a group's rows give their top-k, and the best of
+    those remain. The number of blocks grows with the rows, so that a task's matrices don't.
     """
+    blocks = max(1, -(-rows.count() // per_block))
     cut = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
     left = cut.select("id", "vector", F.col("block").alias("i"), grid).withColumnRenamed("o", "j").withColumn("side", F.lit(0))

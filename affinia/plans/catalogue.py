@@ -189,12 +189,14 @@ def _(t):
 
 
 @query("profile_overlap", """
-WITH s AS (SELECT DISTINCT o_custkey % 10 AS account, p_name AS tag FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 49),
+WITH s AS (SELECT DISTINCT c_nationkey AS account, p_name || p_brand || p_size AS tag FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = o_custkey),
      a AS (SELECT account, list(tag) AS tags FROM s GROUP BY account)
 SELECT x.account AS a, y.account AS b, round(len(list_intersect(x.tags, y.tags)) * 1e0 / len(list_distinct(list_concat(x.tags, y.tags))), 6) AS overlap FROM a x JOIN a y ON x.account < y.account""")
 def _(t):
-    rows = t("orders").join(t("lineitem").where("l_quantity >= 49"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey"))
-    sets = rows.groupBy((F.col("o_custkey") % 10).alias("account")).agg(F.collect_set("p_name").alias("tags"))
+    house = t("orders").select("o_orderkey", "o_custkey").join(t("customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
+    tag = F.concat("p_name", "p_brand", F.col("p_size").cast("string"))
+    rows = house.join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", tag.alias("tag")), F.col("p_partkey") == F.col("l_partkey"))
+    sets = rows.groupBy(F.col("c_nationkey").alias("account")).agg(F.collect_set("tag").alias("tags"))  # a house for each nation
     b = sets.toDF("b", "more")
     return sets.join(b, F.col("account") < F.col("b")).select(F.col("account").alias("a"), "b", F.round(tags.jaccard(F.col("tags"), F.col("more")), 6).alias("overlap"))
 
@@ -265,11 +267,11 @@ def _(t):
 
 
 @query("chamfer_pairs", f"""
-WITH f AS ({_F} WHERE vec_id < 200), s AS (SELECT x.item AS a, y.item AS b, x.t_ms AS ta, y.t_ms AS tb, {_COS} AS s FROM f x JOIN f y ON x.item < y.item),
+WITH f AS ({_F}), s AS (SELECT x.item AS a, y.item AS b, x.t_ms AS ta, y.t_ms AS tb, {_COS} AS s FROM f x JOIN f y ON x.item < y.item),
      l AS (SELECT a, b, avg(s) AS m FROM (SELECT a, b, ta, max(s) AS s FROM s GROUP BY ALL) GROUP BY a, b), r AS (SELECT a, b, avg(s) AS m FROM (SELECT a, b, tb, max(s) AS s FROM s GROUP BY ALL) GROUP BY a, b)
 SELECT a, b, round(least(l.m, r.m), 6) AS score FROM l JOIN r USING (a, b)""")
 def _(t):
-    frames = _frames(t).where("t_ms < 200000")
+    frames = _frames(t)
     items = frames.select("item").distinct()
     return vectors.chamfer(frames, items.toDF("a").join(items.toDF("b"), F.col("a") < F.col("b")))
 
@@ -300,16 +302,16 @@ def _(t):
 
 _CUTS = "SELECT user_id AS item, list_sort(list((epoch_us(ts) // 1000 - epoch_ms(TIMESTAMP '2024-01-01')) // 10000)) AS cuts FROM events GROUP BY user_id"
 _SHOTS = f"""
-WITH RECURSIVE c AS ({_CUTS}), d AS (SELECT item, list_filter(cuts, lambda x: x < 260000) AS cuts FROM c),
+WITH RECURSIVE c AS ({_CUTS}), d AS (SELECT item, list_filter(cuts, lambda x: x < 1000000) AS cuts FROM c),
   k AS (SELECT item, cuts, 1 AS i, CAST(0 AS BIGINT) AS last, true AS kept FROM d
         UNION ALL SELECT item, cuts, i + 1, CASE WHEN cuts[i] - last >= 500 THEN cuts[i] ELSE last END, cuts[i] - last >= 500 FROM k WHERE i <= len(cuts)),
-  e AS (SELECT item, last AS start_ms, lead(last, 1, 260000) OVER (PARTITION BY item ORDER BY last) AS end_ms FROM k WHERE kept)
+  e AS (SELECT item, last AS start_ms, lead(last, 1, 1000000) OVER (PARTITION BY item ORDER BY last) AS end_ms FROM k WHERE kept)
 SELECT item, row_number() OVER (PARTITION BY item ORDER BY start_ms) - 1 AS shot, start_ms, end_ms FROM e"""
 
 
 def _titles(t) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return t("events").groupBy(F.col("user_id").alias("item")).agg(F.collect_list(F.floor(ms / 10000)).alias("cuts")).withColumn("duration_ms", F.lit(260000).cast("long"))
+    return t("events").groupBy(F.col("user_id").alias("item")).agg(F.collect_list(F.floor(ms / 10000)).alias("cuts")).withColumn("duration_ms", F.lit(1000000).cast("long"))
 
 
 @query("shots", _SHOTS)
@@ -442,9 +444,9 @@ def _(t):
     return t("customer").join(urgent.union(large), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
 
 
-@query("anti_join", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@query("anti_join", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 40)")
 def _(t):
-    return t("part").join(t("lineitem").where("l_returnflag = 'R'"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
+    return t("part").join(t("lineitem").where("l_returnflag = 'R' AND l_quantity >= 40"), F.col("l_partkey") == F.col("p_partkey"), "left_anti").select("p_partkey")
 
 
 @query("edge_titles", """
@@ -472,11 +474,12 @@ def _(t):
 
 
 @query("name_join", """
-WITH a AS (SELECT c_custkey AS id, c_mktsegment || c_nationkey AS name FROM customer WHERE c_custkey < 200), b AS (SELECT s_suppkey AS id, 'MACHINERY' || s_nationkey AS name FROM supplier)
+WITH a AS (SELECT c_custkey AS id, substr(c_name, 10) AS name FROM customer), b AS (SELECT s_suppkey + 5 AS id, substr(s_name, 10) AS name FROM supplier)
 SELECT a.id AS left_id, b.id AS right_id, coalesce(a.name, b.name) AS name FROM (SELECT * FROM a WHERE id <> 0) a FULL JOIN (SELECT * FROM b WHERE id <> 0) b ON a.name = b.name""")
 def _(t):
-    a = t("customer").where("c_custkey < 200").select(F.col("c_custkey").alias("id"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("name"))
-    b = t("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("MACHINERY"), F.col("s_nationkey").cast("string")).alias("name"))
+    number = lambda c: F.substring(c, 10, 99).alias("name")
+    a = t("customer").select(F.col("c_custkey").alias("id"), number("c_name"))
+    b = t("supplier").select((F.col("s_suppkey") + 5).alias("id"), number("s_name"))
     return matching.named_alike(a, b)
 
 
@@ -495,10 +498,10 @@ def _(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).intersect(t("supplier").where("s_acctbal > 5000").select("s_nationkey"))
 
 
-@query("duplicates", "SELECT p_name, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS keys FROM part WHERE p_size <= 5 GROUP BY p_name HAVING count(*) > 1")
+@query("duplicates", "SELECT p_name, count(*) AS n, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS keys FROM part GROUP BY p_name HAVING count(*) > 1")
 def _(t):
     keys = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",")
-    return t("part").where("p_size <= 5").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), keys.alias("keys")).where("n > 1")
+    return t("part").groupBy("p_name").agg(F.count(F.lit(1)).alias("n"), keys.alias("keys")).where("n > 1")
 
 
 @query("first_occurrence", "SELECT p_name, p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) = 1")
@@ -506,10 +509,9 @@ def _(t):
     return t("part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("p_partkey"))
 
 
-@query("nulls_last", "SELECT doc_id, quality, row_number() OVER (ORDER BY quality NULLS LAST, doc_id) AS place FROM documents LEFT JOIN labels USING (doc_id) ORDER BY place LIMIT 450")
+@query("nulls_last", "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality NULLS LAST, doc_id")
 def _(t):
-    rows = t("documents").select("doc_id").join(t("labels"), "doc_id", "left").orderBy(F.asc_nulls_last("quality"), "doc_id").limit(450)
-    return rows.select("doc_id", "quality", F.row_number().over(Window.orderBy(F.asc_nulls_last("quality"), "doc_id")).cast("long").alias("place"))  # 450 rows
+    return t("documents").select("doc_id").join(t("labels").select("doc_id", "quality"), "doc_id", "left").orderBy(F.asc_nulls_last("quality"), "doc_id")
 
 
 @query("offset_page", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25 OFFSET 50")
@@ -538,10 +540,10 @@ def _(t):
 # --- changes, groups, text ---------------------------------------------------------------------------
 
 
-@query("upsert", "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN p_retailprice * 2 ELSE p_retailprice END AS price FROM part WHERE p_partkey < 1000 UNION ALL SELECT p_partkey, p_retailprice * 2 FROM part WHERE p_partkey >= 1000 AND p_partkey % 10 = 0")
+@query("upsert", "WITH n AS (SELECT p_partkey * 2 AS k, p_retailprice + 1 AS price FROM part) SELECT p_partkey, p_retailprice AS price FROM part WHERE p_partkey NOT IN (SELECT k FROM n) UNION ALL SELECT k, price FROM n")
 def _(t):
-    old = t("part").where("p_partkey < 1000").select("p_partkey", F.col("p_retailprice").alias("price"))
-    new = t("part").where("p_partkey % 10 = 0").select("p_partkey", (F.col("p_retailprice") * 2).alias("price"))
+    old = t("part").select("p_partkey", F.col("p_retailprice").alias("price"))
+    new = t("part").select((F.col("p_partkey") * 2).alias("p_partkey"), (F.col("p_retailprice") + 1).alias("price"))
     return changes.upserted(old, new, ["p_partkey"])
 
 
@@ -576,9 +578,18 @@ def _(t):
     return t("part").select(F.col("p_size").alias("failures")).distinct().select("failures", changes.backoff_seconds(F.col("failures")).alias("seconds"))
 
 
-@query("ordered_digest")
+@query("ordered_digest", """
+WITH h AS (SELECT p_brand, p_partkey, sha256(strlen(p_partkey::VARCHAR) || ':' || p_partkey || strlen(p_name) || ':' || p_name || strlen(p_size::VARCHAR) || ':' || p_size) AS h FROM part)
+SELECT p_brand, sha256(string_agg(h, '' ORDER BY p_partkey)) AS digest FROM h GROUP BY p_brand""")
 def _(t):
-    return changes.fingerprint(t("part"), ["p_partkey", "p_name", "p_retailprice"], ["p_brand"])
+    return changes.fingerprint(t("part"), ["p_partkey", "p_name", "p_size"], ["p_brand"], ["p_partkey"])
+
+
+@query("table_digest", """
+WITH h AS (SELECT p_brand, p_partkey, sha256(strlen(p_name) || ':' || p_name) AS h FROM part), g AS (SELECT p_brand, sha256(string_agg(h, '' ORDER BY p_partkey)) AS d FROM h GROUP BY p_brand)
+SELECT sha256(string_agg(d, '' ORDER BY p_brand)) AS digest FROM g""")
+def _(t):
+    return changes.table_digest(changes.fingerprint(t("part"), ["p_name"], ["p_brand"], ["p_partkey"]), ["p_brand"])
 
 
 @query("decision_bucket", """
@@ -591,21 +602,28 @@ def _(t):
 
 
 @query("merge_groups", """
-WITH RECURSIVE n AS (SELECT DISTINCT p_partkey AS k FROM part), e AS (SELECT p_partkey AS a, p_partkey // 3 AS b FROM part WHERE p_partkey % 7 <> 0 AND p_partkey > 0 AND p_retailprice >= 950),
+WITH RECURSIVE e AS (SELECT p_partkey AS a, CASE WHEN p_partkey % 5 = 0 THEN p_partkey // 25 * 25 ELSE p_partkey // 5 * 5 END AS b FROM part WHERE p_partkey % 25 <> 0),
   u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS seen FROM u UNION SELECT w.node, u.b FROM w JOIN u ON u.a = w.seen)
 SELECT node, min(seen) AS root FROM w GROUP BY node""")
 def _(t):
-    p = t("part").where("p_partkey % 7 <> 0 AND p_partkey > 0 AND p_retailprice >= 950")
-    return clusters.components(p.select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") / 3).alias("b")))
+    k = F.col("p_partkey")
+    edges = t("part").select(k.alias("a"), F.when(k % 5 == 0, F.floor(k / 25) * 25).otherwise(F.floor(k / 5) * 5).alias("b"))
+    return clusters.components(edges.where("a <> b"))
 
 
 @query("merge_map")
 def _(t):
     words = t("part").groupBy("p_name").agg(F.count(F.lit(1)).alias("titles")).select(F.col("p_name").alias("keyword"), "titles")
-    b = words.select(F.col("keyword").alias("b"))
-    score = 1 - F.levenshtein("a", "b") / F.greatest(F.char_length("a"), F.char_length("b"))
-    near = words.select(F.col("keyword").alias("a")).join(b, (F.substring("a", 1, 1) == F.substring("b", 1, 1)) & (F.col("a") < F.col("b")))
-    return clusters.merge_map(near.select("a", "b", score.alias("score"), F.lit(None).cast("string").alias("decision")), words, accept=0.5)
+    pairs = clusters.similar_pairs(words, 0.6)
+    return clusters.merge_map(pairs.withColumn("decision", F.lit(None).cast("string")), words, accept=0.6)
+
+
+@query("similar_pairs", """
+WITH w AS (SELECT DISTINCT p_name || ' ' || p_type AS k FROM part) SELECT x.k AS a, y.k AS b, round(1 - levenshtein(x.k, y.k) * 1e0 / greatest(length(x.k), length(y.k)), 6) AS score
+FROM w x JOIN w y ON x.k < y.k WHERE 1 - levenshtein(x.k, y.k) * 1e0 / greatest(length(x.k), length(y.k)) + 1e-9 >= 0.7""")
+def _(t):
+    words = t("part").select(F.concat("p_name", F.lit(" "), "p_type").alias("keyword")).distinct()
+    return clusters.similar_pairs(words, 0.7).withColumn("score", F.round("score", 6))
 
 
 @query("device_clusters")
@@ -641,11 +659,14 @@ def _(t):
     return t("pages").groupBy(F.parse_url("url", F.lit("HOST")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("canonical_urls", "SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://(?:www\\.)?([^/?#]+)', 1)) || regexp_replace(regexp_replace(lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)), '/page/\\d+/?$', ''), '/+$', '') AS url FROM pages WHERE ends_with(regexp_extract(url, '^https?://([^/?#]+)', 1), '.com') AND regexp_extract(url, '^https?://[^/?#]+/+([^?#]*)', 1) <> ''")
+_HOSTS = ("blog.tionsh.example.net", "thther.example.org", "ththhe.example.com", "ththth.example.net", "m.ththth.example.net")
+
+
+@query("canonical_urls", f"""
+WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\\.', '') AS host, lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)) AS path FROM pages)
+SELECT page_id, CASE WHEN host IN {_HOSTS} AND trim(path, '/') <> '' THEN 'https://' || host || regexp_replace(regexp_replace(path, '/page/\\d+/?$', ''), '/+$', '') END AS url FROM p""")
 def _(t):
-    hosts = F.regexp_replace(F.lower(F.parse_url("url", F.lit("HOST"))), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_replace(F.lower(F.parse_url("url", F.lit("PATH"))), r"/page/\d+/?$", ""), r"/+$", "")
-    return t("pages").where(F.endswith(F.parse_url("url", F.lit("HOST")), F.lit(".com")) & (path != "")).select("page_id", F.concat(F.lit("https://"), hosts, path).alias("url"))
+    return t("pages").select("page_id", T.canonical_list_url(F.col("url"), _HOSTS).alias("url"))
 
 
 @query("page_titles", "SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title, regexp_extract(html, '(?is)<html[^>]*\\blang=\"([^\"]*)\"', 1) AS lang FROM pages")

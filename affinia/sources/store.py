@@ -51,12 +51,13 @@ class Store:
         meta = self.check_shape(version)
         if name not in meta["tables"]:
             return self.spark.createDataFrame([], TABLES[name].schema)
-        return self.spark.read.schema(TABLES[name].schema).parquet(f"{self._at(version)}/{name}")
+        return self.spark.read.schema(TABLES[name].schema).parquet(f"{self.root}/v{meta['tables'][name]}/{name}")
 
-    def publish(self, tables: Mapping[str, DataFrame], shrink: Mapping[str, int] | None = None) -> int:
+    def publish(self, tables: Mapping[str, DataFrame], shrink: Mapping[str, int] | None = None, keep: bool = False) -> int:
         """Writes the tables as a new version; readers see it when its _meta is complete.
 
-        A guarded table may lose rows only if shrink names the count it must then have.
+        A guarded table may lose rows only if shrink names the count it must then have. With keep the other
+        tables of the version before stay: its files are named again, not written again.
         """
         versions = self.versions()
         version = (versions[-1] if versions else 0) + 1
@@ -69,13 +70,11 @@ class Store:
                 before, after = self.table(name).count(), self.spark.read.parquet(f"{at}/{name}").count()
                 if after < before and (shrink or {}).get(name) != after:
                     raise ValueError(f"{name} would shrink from {before} to {after} rows")
-        meta = json.dumps({"schema_version": SCHEMA_VERSION, "reader_shape": READER_SHAPE, "tables": sorted(tables)})
+        meta = json.dumps({"schema_version": SCHEMA_VERSION, "reader_shape": READER_SHAPE, "tables": {**(self.check_shape()["tables"] if keep and versions else {}), **dict.fromkeys(sorted(tables), version)}})
         self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/_meta")
         return version
 
     def upsert(self, name: str, rows: DataFrame, update: bool = True) -> int:
         """A new version in which a table has rows by its key."""
-        current = {t: self.table(t) for t in self.check_shape()["tables"]}
-        old = current.get(name, self.spark.createDataFrame([], TABLES[name].schema))
-        current[name] = upserted(old, rows.select(*old.columns), TABLES[name].key, update)
-        return self.publish(current)
+        old = self.table(name)
+        return self.publish({name: upserted(old, rows.select(*old.columns), TABLES[name].key, update)}, keep=True)

@@ -145,7 +145,7 @@ def test_digest_depends_on_values_not_order(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "k long, v string")
     b = spark.createDataFrame([(2, None), (1, "x")], "k long, v string")
     c = spark.createDataFrame([(2, ""), (1, "x")], "k long, v string")
-    one, two, three = (changes.fingerprint(d, ["k", "v"]).first().digest for d in (a, b, c))
+    one, two, three = (changes.fingerprint(d, ["k", "v"], [], ["k", "v"]).first().digest for d in (a, b, c))
     assert one == two != three
 
 
