@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from affinia.llm.exact_dedup import exact_dedup
 from affinia.llm.mixing import measured, mix, rates, targets
@@ -92,3 +93,14 @@ def test_mix(docs_of):
     for r in mixed.collect():
         n[r.doc_id] += 1
     assert {r.doc_id: r.copies for r in sized if r.copies} == dict(n)
+
+
+def test_stored_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    from affinia.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    kept = common.bucketed(spark.range(100).withColumnRenamed("id", "row"), "rows", "row", 3)
+    assert kept.count() == common.stored(spark.range(100), "range").count() == 100
+    assert kept.join(kept.withColumnRenamed("row", "other"), kept["row"] == F.col("other")).count() == 100
+    common.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
