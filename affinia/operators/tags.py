@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinia.operators.ranking import top_per_group
 
 Z = 2.0
+#: Titles of a block in the sums over all pairs, and pairs or sums that a task holds at once.
+BLOCK, CELLS = 4096, 1 << 22
 
 
 def frequencies(tagged: DataFrame) -> DataFrame:
@@ -63,17 +69,69 @@ def network(tagged: DataFrame, least_df: int = 3, top: int = 6) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").distinct()
 
 
-def nearest_titles(tagged: DataFrame, top: int = 12, max_df: int | None = None) -> DataFrame:
-    """title, other, cosine, place by TF-IDF of tags. max_df leaves out tags on more titles, if it is given."""
+def nearest_titles(tagged: DataFrame, top: int = 12, max_df: int | None = None, per_block: int = BLOCK) -> DataFrame:
+    """title, other, cosine, place by TF-IDF of tags. max_df leaves out tags on more titles, if it is given.
+
+    Titles are dealt to blocks of about per_block, and each pair of blocks is a group: the pairs that a tag makes
+    are summed within it and only a title's best leave it, so that a hot tag's pairs never cross a shuffle. There
+    are as many pairs of blocks as cores at least; a tag's row goes to as many groups as there are blocks. Tags
+    meet as 64-bit hashes.
+    """
     df = frequencies(tagged)
     if max_df is not None:
         df = df.where(F.col("df") <= max_df)
     weighted = tagged.join(df.select("tag", "idf"), "tag")
     norms = weighted.groupBy("title").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    units = weighted.join(norms, "title").select("title", "tag", (F.col("idf") / F.col("norm")).alias("w"))
-    other = units.toDF("other", "tag", "v")
-    dots = units.join(other, "tag").where(F.col("title") != F.col("other")).groupBy("title", "other").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    scored = dots.select("title", "other", F.round("dot", 6).alias("cosine")).where("cosine > 0")
+    units = weighted.join(norms, "title").select("title", F.xxhash64("tag").alias("tag"), (F.col("idf") / F.col("norm")).alias("w"))
+    titles = tagged.select("title").distinct().count()
+    blocks = max(1, -(-titles // per_block), math.isqrt(2 * tagged.sparkSession.sparkContext.defaultParallelism))
+    cut = units.withColumn("block", F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int"))
+    grid = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = grid.select("title", "tag", "w", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        names, at = np.unique(pdf.title.to_numpy(), return_inverse=True)
+        block, tag, w = pdf.block.to_numpy(), pdf.tag.to_numpy(), pdf.w.to_numpy()
+        order = np.argsort(at, kind="stable")
+        left, right = order[block[order] == i], np.argsort(tag, kind="stable")
+        right = right[block[right] == j]
+        first = np.searchsorted(tag[right], tag[left], "left")
+        met = np.searchsorted(tag[right], tag[left], "right") - first
+        wide, ends = len(names), np.cumsum(met)
+        starts = np.flatnonzero(np.diff(at[left], prepend=-1))  # a title's first row
+        found, done = [], 0
+        while done < len(starts):
+            # Whole titles, as many as keep the pairs and the sums within CELLS.
+            low = starts[done]
+            before = ends[low - 1] if low else 0
+            title_ends = ends[np.append(starts[done + 1 :], len(left)) - 1]
+            some = max(1, min(int(np.searchsorted(title_ends, before + CELLS, "right")), CELLS // wide))
+            high = starts[done + some] if done + some < len(starts) else len(left)
+            done += some
+            n = met[low:high]
+            rows = np.repeat(np.arange(low, high), n)
+            other = right[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[rows]]
+            here = np.unique(at[left[low:high]], return_inverse=True)
+            cell = here[1][rows - low] * wide + at[other]
+            dots = np.round(np.bincount(cell, w[left[rows]] * w[other], len(here[0]) * wide), 6)
+            cells = np.flatnonzero(dots > 0)
+            x, y, cosine = here[0][cells // wide], cells % wide, dots[cells]
+            apart = x != y
+            x, y, cosine = x[apart], y[apart], cosine[apart]
+            for one, two in ((x, y), (y, x)) if i < j else ((x, y),):
+                by = np.lexsort((two, -cosine, one))
+                heads = np.flatnonzero(np.diff(one[by], prepend=-1))
+                place = np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by))))
+                by = by[place < top]
+                found.append((one[by], two[by], cosine[by]))
+        if not found:
+            return pd.DataFrame({"title": names[:0], "other": names[:0], "cosine": np.zeros(0)})
+        one, two, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pd.DataFrame({"title": names[one], "other": names[two], "cosine": cosine})
+
+    kind = tagged.schema["title"].dataType.simpleString()
+    scored = sent.groupBy("i", "j").applyInPandas(best, f"title {kind}, other {kind}, cosine double")
     return top_per_group(scored, ["title"], [F.desc("cosine"), F.asc("other")], top)
 
 

@@ -217,3 +217,25 @@ def test_page_text(spark):
         plain = lambda t: re.sub(r"\W", "", t or "")
         same += plain(text).replace(plain(re.sub(r"(?is).*<title[^>]*>(.*?)</title>.*", r"\1", pages[page_id] or "")), "") == plain("".join(parser.found)) or plain("".join(parser.found)) in plain(text)
     assert same >= 0.95 * len(pages)
+
+
+def test_nearest_titles_in_blocks(spark, monkeypatch):
+    """A tag on every title and several strips in each pair of blocks, against all pairs."""
+    from affinia.operators import tags
+
+    monkeypatch.setattr(tags, "CELLS", 300)
+    rnd = np.random.default_rng(5)
+    have = {f"t{i:02d}": {"all", *(f"g{k}" for k in rnd.integers(0, 15, 4))} for i in range(50)}
+    count = Counter(g for some in have.values() for g in some)
+    idf = {g: 1 + np.log(len(have) / n) for g, n in count.items()}
+    norm = {t: np.sqrt(sum(idf[g] ** 2 for g in some)) for t, some in have.items()}
+    want = set()
+    for t, some in have.items():
+        cosines = [(-round(sum(idf[g] ** 2 for g in some & more) / norm[t] / norm[o], 6), o) for o, more in have.items() if o != t]
+        want |= {(t, o, -c, k + 1) for k, (c, o) in enumerate(sorted(cosines)[:5])}
+    tagged = spark.createDataFrame([(t, g) for t, some in have.items() for g in sorted(some)], "title string, tag string")
+    got = {tuple(r) for r in tags.nearest_titles(tagged, top=5, per_block=8).select("title", "other", "cosine", "place").collect()}
+    mine, plain = ({(t, k): c for t, _, c, k in x} for x in (got, want))
+    assert mine.keys() == plain.keys() and max(abs(mine[k] - plain[k]) for k in mine) < 2e-6
+    assert len(got & want) >= 0.9 * len(want)  # sums in another order may swap equal ones
+    assert tags.nearest_titles(tagged.limit(0)).count() == 0
