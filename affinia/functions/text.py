@@ -192,3 +192,11 @@ def robots_allowed(path: Column, allow: Sequence[str], disallow: Sequence[str])
         return F.greatest(*hits, F.lit(-1), F.lit(-1))
 
     return longest(allow) >= longest(disallow)
+
+
+def rendered(template: str, fields: Mapping[str, Column]) -> Column:
+    """A path from a template such as "{library}/{title}": each field cleaned as a part of a path; null if a field is."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[path_segment(fields[p]) if k % 2 else F.lit(p) for k, p in enumerate(parts)])

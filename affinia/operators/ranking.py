@@ -45,3 +45,8 @@ def spread_picks(items: Column, n: int) -> Column:
     at = F.sequence(F.lit(0), F.lit(n - 1))
     step = (size - 1) / F.lit(max(n - 1, 1))
     return F.when(size <= n, items).otherwise(F.transform(at, lambda i: F.get(items, F.bround(i * step).cast("int"))))
+
+
+def primary_file(files: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of each group the file that is there, then the highest, the largest, and the first path (unknown sizes last)."""
+    return first_per_group(files, by, [F.desc(F.coalesce("present", F.lit(False))), F.desc_nulls_last("height"), F.desc_nulls_last("size"), F.asc("path")])

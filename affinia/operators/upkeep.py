@@ -176,3 +176,28 @@ def unit_square(points: DataFrame) -> DataFrame:
     ends = points.agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("width"))
     of = lambda c: F.when(F.col("width") > 0, (F.col(c) - F.col(f"{c}0")) / F.col("width")).otherwise(0.0).alias(c)
     return points.crossJoin(F.broadcast(ends)).select("id", of("x"), of("y"))  # one row
+
+
+def language_facts(items: DataFrame, languages: DataFrame) -> DataFrame:
+    """item_id, language: one row of each item whose language is known; an episode has its show's.
+
+    items: item_id, show_item_id (null but for episodes); languages: item_id, language.
+    """
+    owner = items.select("item_id", F.coalesce("show_item_id", "item_id").alias("owner"))
+    known = languages.where("language IS NOT NULL").groupBy(F.col("item_id").alias("owner")).agg(F.min("language").alias("language"))
+    return owner.join(known, "owner").select("item_id", "language")
+
+
+def harvested(old: DataFrame, new: DataFrame, outcomes: DataFrame, key: str) -> DataFrame:
+    """old with the rows of items that were harvested replaced by the new ones; an item that failed keeps its rows.
+
+    outcomes: key, ok.
+    """
+    done = outcomes.where("ok").select(key).distinct()
+    return old.join(done, key, "left_anti").unionByName(new.join(done, key, "left_semi"))
+
+
+def imported(known: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Of rows with a key that isn't known yet the first one of each key; rows without a key are left out."""
+    named = rows.dropna(subset=list(key))
+    return first_per_group(named.join(known.select(*key), list(key), "left_anti"), key, order)

@@ -135,3 +135,11 @@ def ranking_agreement(a: DataFrame, b: DataFrame, by: str, k: int) -> DataFrame:
     """by, shared, same_first: how two rankings (by, id, place) agree in their first k."""
     tops = [r.where(F.col("place") <= k).select(by, F.struct("place", "id").alias("x")).groupBy(by).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]).alias(n)) for r, n in ((a, "p"), (b, "q"))]
     return tops[0].join(tops[1], by).select(by, F.size(F.array_intersect("p", "q")).cast("long").alias("shared"), (F.get("p", F.lit(0)) == F.get("q", F.lit(0))).alias("same_first"))
+
+
+def half(x: Column) -> Column:
+    """A double rounded to the nearest number of 16 bits, ties to even; too large ones are infinite."""
+    size = F.abs(x)
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)), F.lit(-14)) - 10)
+    near = F.rint(x / step) * step
+    return F.when(size >= 65520, F.signum(x) * float("inf")).when(size == 0, x).otherwise(near)

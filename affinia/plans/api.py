@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinia.operators import clusters, matching, ranking, tags, taste, vectors
+from affinia.operators import clusters, filters, matching, ranking, tags, taste, vectors
 from affinia.sources.store import Store
 
 LIMIT, MOST = 100, 1000
@@ -27,14 +27,6 @@ class Api:
     def _t(self, name: str) -> DataFrame:
         return self.store.table(name, self.version)
 
-    @staticmethod
-    def _only(df: DataFrame, **equal) -> DataFrame:
-        """A filter for each argument that is given."""
-        for column, value in equal.items():
-            if value is not None:
-                df = df.where(F.col(column) == value)
-        return df
-
     def _among(self, df: DataFrame, ids: Sequence[str] | None) -> DataFrame:
         """Rows of the given items: a semi join with the list of ids, whatever its length."""
         if ids is None:
@@ -51,7 +43,7 @@ class Api:
 
     def items(self, type: str | None = None, library: str | None = None, show: str | None = None, after: str | None = None, limit: int = LIMIT, include: Sequence[str] = (), namespace: str | None = None) -> DataFrame:
         """A page of items; include attaches enrichment, external_ids or media_parts as lists."""
-        page = self._page(self._only(self._t("items"), type=type, library=library, show_item_id=show), ["item_id"], None if after is None else [after], limit)
+        page = self._page(filters.only(self._t("items"), type=type, library=library, show_item_id=show), ["item_id"], None if after is None else [after], limit)
         for name in include:
             rows = self.enrichment(namespace=namespace) if name == "enrichment" else self._t(name)
             kept = [c for c in rows.columns if c != "item_id"]
@@ -67,12 +59,12 @@ class Api:
 
     def enrichment(self, ids: Sequence[str] | None = None, namespace: str | None = None, key: str | None = None) -> DataFrame:
         """One row for each fact, whatever its sources, with the newest instant."""
-        facts = self._among(self._only(self._t("enrichment"), namespace=namespace, key=key), ids)
+        facts = self._among(filters.only(self._t("enrichment"), namespace=namespace, key=key), ids)
         return facts.groupBy("item_id", "namespace", "key", "value").agg(F.max("fetched_at").alias("fetched_at"))
 
     def edges(self, item_id: str, type: str | None = None, direction: str = "from") -> DataFrame:
         here, there = ("from_id", "to_id") if direction == "from" else ("to_id", "from_id")
-        rows = self._only(self._t("edges").where(F.col(here) == item_id), edge_type=type)
+        rows = filters.only(self._t("edges").where(F.col(here) == item_id), edge_type=type)
         return rows.select(F.col(there).alias("item_id"), "edge_type", "rank").orderBy("edge_type", F.asc_nulls_last("rank"), "item_id")
 
     def collections(self, item_id: str) -> DataFrame:
@@ -86,7 +78,7 @@ class Api:
         return best
 
     def external_ids(self, ids: Sequence[str] | None = None, namespace: str | None = None) -> DataFrame:
-        return self._among(self._only(self._t("external_ids"), namespace=namespace), ids)
+        return self._among(filters.only(self._t("external_ids"), namespace=namespace), ids)
 
     def plex(self, ids: Sequence[str] | None = None) -> DataFrame:
         return self._among(self._t("plex_items"), ids)
@@ -101,7 +93,7 @@ class Api:
 
     def plays(self, account: int | None = None, since: int | None = None, after: str | None = None, limit: int = LIMIT) -> DataFrame:
         """A page of plays, without addresses, devices and keys of other systems."""
-        rows = self._only(self._t("plays"), account_id=account)
+        rows = filters.only(self._t("plays"), account_id=account)
         if since is not None:
             rows = rows.where(F.col("viewed_at") >= since)
         return self._page(rows.select("history_key", "item_id", "account_id", "viewed_at", "seconds_watched"), ["history_key"], None if after is None else [after], limit)
@@ -121,17 +113,17 @@ class Api:
         plays, episodes, facts = self._units()
         if account is None:
             return taste.pooled_taste(plays, episodes, facts).orderBy("namespace", "key", "value")
-        return taste.taste(self._only(plays, account=account), episodes, facts).drop("account").orderBy("namespace", "key", "value")
+        return taste.taste(filters.only(plays, account=account), episodes, facts).drop("account").orderBy("namespace", "key", "value")
 
     def watched(self, account: int | None = None) -> DataFrame:
         plays, episodes, _ = self._units()
-        units = taste.watched_units(self._only(plays, account=account), taste.season_lengths(episodes))
+        units = taste.watched_units(filters.only(plays, account=account), taste.season_lengths(episodes))
         return units.select("unit").distinct().orderBy("unit")
 
     # --- keywords
 
     def keywords(self, surface: str | None = None) -> DataFrame:
-        return self._only(self._t("keyword_forms"), surface=surface).select("keyword").union(self._t("keyword_names").select("keyword") if surface is None else self._t("keyword_names").limit(0).select("keyword")).distinct()
+        return filters.only(self._t("keyword_forms"), surface=surface).select("keyword").union(self._t("keyword_names").select("keyword") if surface is None else self._t("keyword_names").limit(0).select("keyword")).distinct()
 
     def keyword(self, keyword: str) -> DataFrame:
         """Its spellings, its readable form, and its own name if it has one."""
@@ -182,8 +174,8 @@ class Api:
 
 
 def as_json(rows: DataFrame) -> DataFrame:
-    """value: each row as a JSON text."""
-    return rows.select(F.to_json(F.struct("*")).alias("value"))
+    """value: each row as a JSON text; nulls are written."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def freshness(rows: DataFrame, stamp: str, now: Column, days: int = 3) -> DataFrame:

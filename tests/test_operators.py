@@ -152,3 +152,40 @@ def test_digest_depends_on_values_not_order(spark):
 def test_instants(spark):
     row = spark.range(1).select(changes.is_before(F.lit("2024-01-01T00:00:00+02:00"), F.lit("2023-12-31T23:00:00+00:00")).alias("a"), changes.is_before(F.lit("junk"), F.lit("2024-01-01T00:00:00Z")).alias("b")).first()
     assert row.a and not row.b
+
+
+def test_half_numbers(spark):
+    import numpy as np
+
+    from affinia.operators.vectors import half
+
+    xs = [0.0, -0.0, 1.0, 1.0004883, 1.00146484375, 2048.5, 2049.0, 2051.0, 65504.0, 65519.9, 65520.0, -1e9, 6e-8, 2.9e-8, 3e-8, 6.1e-5, 0.1, -0.3333, 5e-324]
+    got = [r.h for r in spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x double").orderBy("k").select(half(F.col("x")).alias("h")).collect()]
+    with np.errstate(over="ignore"):
+        assert got == np.array(xs).astype(np.float16).astype(float).tolist()
+    empty = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(half(F.col("x")).alias("h")).collect()
+    assert empty[0].h is None and empty[1].h != empty[1].h
+
+
+def test_filters_of_nulls_and_marks(spark):
+    from affinia.operators import filters
+
+    rows = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("b", 3, None), ("b", 4, True), (None, 5, True), (None, 6, False), ("c", 7, True)], "f string, n int, ok boolean")
+    assert sorted(r.n for r in filters.whole_files(rows, "f", F.col("ok")).collect()) == [1, 2, 7]
+    found = filters.existing(spark.createDataFrame([("a",), ("z",), (None,)], "f string"), rows, "f")
+    assert {r.f: r.found for r in found.collect()} == {"a": True, "z": False, None: False}
+    words = spark.createDataFrame([("50%_Off\\",), ("50x_off\\",), ("İ50%_",), (None,)], "w string")
+    assert [r.w for r in words.where(filters.containing(F.col("w"), "50%_O")).collect()] == ["50%_Off\\"]
+    with pytest.raises(ValueError, match="no such"):
+        filters.without_error_text(rows, ["error"])
+
+
+def test_answers_that_are_not_whole(spark):
+    from affinia.sources import answers
+
+    bodies = ["", "no json", "{}", '{"data":{"Page":{"media":[]}}}', '{"data":{"Page":{"media":[{"id":4,"tags":[{"name":"x"}]},{"id":5,"tags":[]}]}}}', None]
+    table = spark.createDataFrame([(b,) for b in bodies], "body string")
+    assert [tuple(r) for r in answers.anime_tags(table).collect()] == [(4, "x", None, None, False)]
+    assert answers.site_ratings(table.withColumn("k", F.lit(1)), "k").count() == 0
+    dates = spark.createDataFrame([('{"id":1,"release_date":"","first_air_date":"1999-05-01"}',), ('{"id":2,"release_date":"soon"}',)], "body string")
+    assert sorted(tuple(r) for r in answers.details(dates).collect()) == [(1, None, 1999), (2, None, None)]

@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from affinia.plans.upkeep_queries import ORACLES, QUERIES
+from affinia.plans.store_queries import ORACLES, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
