@@ -35,7 +35,7 @@ def whole_files(rows: DataFrame, file: str, valid: Column) -> DataFrame:
     return rows.join(bad, rows[file].eqNullSafe(bad[file]), "left_anti")
 
 
-def without_error_text(rows: DataFrame, hidden: Sequence[str]) -> DataFrame:
+def hiding(rows: DataFrame, hidden: Sequence[str]) -> DataFrame:
     """rows without columns that readers mustn't see; naming one that isn't there is an error."""
     missing = set(hidden) - set(rows.columns)
     if missing:

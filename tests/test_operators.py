@@ -177,7 +177,7 @@ def test_filters_of_nulls_and_marks(spark):
     words = spark.createDataFrame([("50%_Off\\",), ("50x_off\\",), ("İ50%_",), (None,)], "w string")
     assert [r.w for r in words.where(filters.containing(F.col("w"), "50%_O")).collect()] == ["50%_Off\\"]
     with pytest.raises(ValueError, match="no such"):
-        filters.without_error_text(rows, ["error"])
+        filters.hiding(rows, ["error"])
 
 
 def test_answers_that_are_not_whole(spark):
