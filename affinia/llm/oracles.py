@@ -44,4 +44,21 @@ SELECT page_id, payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = fir
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3, "op5_warc": OP5, "op10_exact_dedup": OP10}
+_TERMS = """unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term"""
+
+OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents), b AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+     t AS (SELECT row, doc_id, {_TERMS} FROM d), q AS (SELECT DISTINCT item, item_id, term FROM (SELECT item, item_id, {_TERMS} FROM b)),
+     s AS (SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY row),
+     c AS (SELECT CAST(count(*) AS BIGINT) AS documents, CAST(sum(n) AS BIGINT) AS total FROM s),
+     f AS (SELECT row, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY row, term),
+     w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, c GROUP BY term),
+     p AS (SELECT row, s.doc_id, 50 + (50 * n * documents) // total AS m FROM s, c),
+     r AS (SELECT item, item_id, p.doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+           FROM q JOIN f USING (term) JOIN w USING (term) JOIN p USING (row) GROUP BY item, item_id, p.doc_id, row),
+     o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row) AS INTEGER) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op3_mixing": OP3, "op5_warc": OP5, "op10_exact_dedup": OP10, "op13_search": OP13}

@@ -86,6 +86,54 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.simhash import near_components
+
+    found = near_components(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.periods import collapse
+
+    found = collapse(with_repeats(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    one = found.select("doc_id", "runs", "collapsed", longest.alias("x"))
+    return one.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("x.before")).alias("start"),
+        F.col("x.length").alias("length"),
+        (-F.col("x.less")).alias("period"),
+        F.expr("(1000 * x.length) div -x.less").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text: in one document of ten, by the hash of its id, the words from one on repeat a first stretch of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    found = F.when(chosen, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    rows = docs.select("doc_id", "text", found.alias("found"), F.floor(h / 10).alias("g"))
+    n = F.size("found")
+    rows = rows.select("doc_id", "text", "found", n.alias("n"), "g", F.when(n > 0, F.col("g") % n).cast("int").alias("a"))
+    # floor((n - a) / (3 + g % 8)) is in whole numbers; at most ten stretches of that length and one word fill the rest.
+    rows = rows.select("doc_id", "text", "found", "n", "a", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)").alias("p"))
+    again = F.slice(F.flatten(F.array_repeat(F.slice("found", F.col("a") + 1, F.col("p")), 10)), F.lit(1), F.col("n") - F.col("a"))
+    repeated = F.array_join(F.concat(F.slice("found", F.lit(1), F.col("a")), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from affinia.llm.ranked import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard": op1_jaccard,
     "op2_quality": op2_quality,
@@ -97,4 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_language": op9_language,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_simhash": op11_simhash,
+    "op12_periods": op12_periods,
+    "op13_search": op13_search,
 }
