@@ -148,7 +148,7 @@ def radix_order(keys: np.ndarray, below: int) -> np.ndarray:
     """The order that sorts keys (0 to below): a stable pass for each 16 bits, from the lowest up."""
     order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
     shift = 16
-    while below >> shift:
+    while max(below, 0) >> shift:
         digit = (keys[order] >> shift & 0xFFFF).astype(np.uint16)
         order = order[np.argsort(digit, kind="stable")]
         shift += 16
