@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCEPT = 0.9
-_local: dict[str, str] = {}
-
+from affinia.operators.shared import stored
 
-def _stored(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share, and read again."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        at = _local[app] = _local.get(app) or "file://" + tempfile.mkdtemp(prefix="affinia-")
-    path = f"{at.rstrip('/')}/affinia/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ACCEPT = 0.9
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,13 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     Labels go to the least neighbour's, and then to that label's own label, until nothing changes; only
     a row count reaches the driver in each round.
     """
-    both = _stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = _stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         met = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("beyond"))
-        after = _stored(met.join(jump, "low").select("node", F.col("root").alias("was"), F.least("low", "beyond").alias("root")))
+        after = stored(met.join(jump, "low").select("node", F.col("root").alias("was"), F.least("low", "beyond").alias("root")))
         labels = after.select("node", "root")
         if after.where("was <> root").isEmpty():
             return labels

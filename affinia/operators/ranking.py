@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinia.operators.shared import stored
+
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, name: str = "place") -> DataFrame:
     """The first n rows of each group with their place (from 1). Spark drops others before the shuffle."""
@@ -18,6 +20,22 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -
     return top_per_group(df, by, order, 1, "__place").drop("__place")
 
 
+def placed_in_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], place: str = "place", size: str = "size") -> DataFrame:
+    """df with each row's place (from 0) in its group's order, and the group's size, for groups of any size.
+
+    Rows are dealt by range of group and order, so that a large group is in several tasks. They are numbered
+    within their part, and shifted by the sizes of the group's parts before.
+    """
+    dealt = stored(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "dealt")
+    parts = dealt.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*by)
+    before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = stored(parts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"), F.sum("__n").over(whole).alias(size)), "shift")
+    inside = F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order))
+    numbered = dealt.withColumn("__at", inside).join(shift, [*by, "__part"])
+    return numbered.withColumn(place, (F.col("__shift") + F.col("__at") - 1).cast("long")).drop("__part", "__at", "__shift")
+
+
 def page(df: DataFrame, key: Sequence[str], after: Sequence | None = None, limit: int = 100) -> DataFrame:
     """Up to limit + 1 rows behind a key, in key order: the further row says that there is more."""
     if after is not None:
