@@ -16,6 +16,10 @@ LIST_HOSTS = ("mdblist.com", "letterboxd.com")
 ID_PRIORITY = ("imdb", "tmdb", "tvdb", "plex")
 
 
+#: A character of a word, in any script.
+_WORD = r"[\p{L}\p{N}_]"
+
+
 def surface(text: Column) -> Column:
     """Lower case, trimmed, white space collapsed."""
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
@@ -57,15 +61,15 @@ def label(title: Column, year: Column, show: Column, season: Column, episode: Co
 
 def name_year(text: Column) -> Column:
     """name and year of "Title (2001)"; no year otherwise."""
-    pattern = r"^(.*) \((\d{4})\)$"
+    pattern = r"(?s)^(.*) \(([0-9]{4})\)\z"
     year = F.regexp_extract(text, pattern, 2)
     return F.struct(F.when(year != "", F.regexp_extract(text, pattern, 1)).otherwise(text).alias("name"), F.when(year != "", year.cast("int")).alias("year"))
 
 
 def list_size(text: Column) -> Column:
-    """The number in "A list of 1,234 films"."""
-    digits = F.replace(F.regexp_extract(text, r"(?i)\bA list of ([\d,]+) (?:films|movies|shows|titles)", 1), F.lit(","), F.lit(""))
-    return F.when(digits != "", digits.cast("long"))
+    """The number in "A list of 1,234 films" or "A list of 1 film", where these are whole words in this spelling."""
+    digits = F.regexp_extract(text, rf"(?<!{_WORD})A list of ([0-9,]+) films?(?!{_WORD})", 1)
+    return F.replace(digits, F.lit(","), F.lit("")).try_cast("long")
 
 
 def canonical_list_url(url: Column, hosts: Sequence[str] = LIST_HOSTS) -> Column:
@@ -116,8 +120,18 @@ def clock(ms: Column) -> Column:
     return F.concat(text[0], F.lit(":"), F.lpad(text[1], 2, "0"), F.lit(":"), F.lpad(text[2], 2, "0"), F.lit("."), text[3])
 
 
-def retry_after(header: Column, usual: int = 60, most: int = 120) -> Column:
-    return F.least(F.coalesce(F.try_to_number(F.trim(header), F.lit("999999999")).cast("long"), F.lit(usual)), F.lit(most))
+def requested_seconds(header: Column, usual: float = 60.0) -> Column:
+    """The seconds that a Retry-After header asks for; the usual wait where it isn't a number."""
+    plain = F.lower(F.regexp_replace(header, r"^\s+|\s+\z", ""))
+    number = F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?\z"), plain.try_cast("double"))
+    endless = F.when(plain.rlike(r"^[+]?inf(inity)?\z"), F.lit(float("inf"))).when(plain.rlike(r"^-inf(inity)?\z"), F.lit(float("-inf")))
+    return F.coalesce(number, endless, F.lit(usual))
+
+
+def retry_after(header: Column, usual: float = 60.0, most: float = 120.0) -> Column:
+    """The seconds to wait, at least one; null where more than the most are asked for and the request is given up."""
+    asked = requested_seconds(header, usual)
+    return F.when(asked <= most, F.greatest(asked, F.lit(1.0)))
 
 
 def parsed(name: Column, rules: Sequence[tuple[str, str, int]]) -> dict[str, Column]:
@@ -166,13 +180,49 @@ def truthy(value: Column) -> Column:
     return F.coalesce(~value.isin("", "null", "false", '""', "[]", "{}") & ~value.rlike(r"^-?0+(\.0+)?$"), F.lit(False))
 
 
-# Words by which a decoder's message is known as damage.
-DAMAGE = ("error while decoding", "invalid data", "corrupt", "concealing")
+# The decoders whose lines count, the words that tell of damage, and a message of the set-up that doesn't.
+DECODERS = (
+    "hevc",
+    "h264",
+    "av1",
+    "vp8",
+    "vp9",
+    "mpeg1video",
+    "mpeg2video",
+    "mpeg4video",
+    "mpeg4",
+    "vc1",
+    "wmv1",
+    "wmv2",
+    "wmv3",
+    "msmpeg4v1",
+    "msmpeg4v2",
+    "msmpeg4v3",
+    "mjpeg",
+    "prores",
+    "dnxhd",
+    "theora",
+)
+DAMAGE = ("invalid", "error", "outside the valid range", "undecodable", "concealing")
+SET_UP = "failed setup for format"
+
+
+def decoder_lines(log: Column) -> Column:
+    """damage and other of a decoder's log: the lines of a video decoder that tell of damage, and how many others there are."""
+    lines = F.filter(F.transform(F.split(log, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: x != "")
+    of_video = rf"^\[({'|'.join(DECODERS)}){_WORD}*\s*@"
+
+    def damaged(x: Column) -> Column:
+        low = F.lower(x)
+        return x.rlike(of_video) & ~F.contains(low, F.lit(SET_UP)) & low.rlike("|".join(DAMAGE))
+
+    damage = F.filter(lines, damaged)
+    return F.struct(damage.alias("damage"), (F.size(lines) - F.size(damage)).cast("long").alias("other"))
 
 
 def damage_lines(log: Column) -> Column:
     """How many lines of a decoder's log tell of damage."""
-    return F.size(F.filter(F.split(F.lower(log), "\n"), lambda x: x.rlike("|".join(DAMAGE)))).cast("long")
+    return F.size(decoder_lines(log)["damage"]).cast("long")
 
 
 def robots_pattern(rule: str) -> str:

@@ -369,13 +369,16 @@ def _(t):
 
 
 @query("text_fields", """
-WITH r AS (SELECT p_partkey, p_name || CASE WHEN p_size % 2 = 0 THEN ' (' || (1950 + p_size) || ')' ELSE '' END AS named, 'A list of ' || CASE WHEN p_partkey > 999 THEN (p_partkey // 1000) || ',' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') ELSE CAST(p_partkey AS VARCHAR) END || ' films' AS sized, CASE WHEN p_size % 3 = 0 THEN 'imdb://tt' || p_partkey ELSE p_name END AS guid FROM part)
-SELECT p_partkey, regexp_replace(named, ' \\(\\d{4}\\)$', '') AS name, TRY_CAST(regexp_extract(named, ' \\((\\d{4})\\)$', 1) AS INTEGER) AS year, p_partkey AS size, CASE WHEN contains(guid, '://') THEN split_part(guid, '://', 1) END AS namespace, CASE WHEN contains(guid, '://') THEN split_part(guid, '://', 2) END AS value FROM r""")
+WITH r AS (SELECT p_partkey, p_size, p_name || CASE WHEN p_size % 2 = 0 THEN ' (' || (1950 + p_size) || ')' ELSE '' END AS named, CASE WHEN p_size % 3 = 0 THEN 'imdb://tt' || p_partkey ELSE p_name END AS guid FROM part)
+SELECT p_partkey, regexp_replace(named, ' \\(\\d{4}\\)$', '') AS name, TRY_CAST(regexp_extract(named, ' \\((\\d{4})\\)$', 1) AS INTEGER) AS year, CASE WHEN p_size % 5 < 3 THEN p_partkey END AS size, CASE WHEN contains(guid, '://') THEN split_part(guid, '://', 1) END AS namespace, CASE WHEN contains(guid, '://') THEN split_part(guid, '://', 2) END AS value FROM r""")
 def _(t):
     n, k = F.col("p_size"), F.col("p_partkey")
     named = F.concat("p_name", F.when(n % 2 == 0, F.concat(F.lit(" ("), (n + 1950).cast("string"), F.lit(")"))).otherwise(""))
     guid = F.when(n % 3 == 0, F.concat(F.lit("imdb://tt"), k.cast("string"))).otherwise(F.col("p_name"))
-    rows = t("part").select("p_partkey", T.name_year(named).alias("n"), T.list_size(F.concat(F.lit("A list of "), F.format_number(k, 0), F.lit(" films"))).alias("size"), T.guid(guid).alias("g"))
+    # "Not A list" states a size, "xA list" and "filmsy" don't.
+    before, after = (F.get(F.array(*[F.lit(x) for x in some]), n % 5) for some in (("", "Not ", "", "x", ""), (" films", " film by x", " films.", " films", " filmsy")))
+    sized = F.concat(before, F.lit("A list of "), F.format_number(k, 0), after)
+    rows = t("part").select("p_partkey", T.name_year(named).alias("n"), T.list_size(sized).alias("size"), T.guid(guid).alias("g"))
     return rows.select("p_partkey", "n.name", "n.year", "size", "g.namespace", "g.value")
 
 
@@ -404,10 +407,14 @@ def _(t):
     return t("part").select("p_partkey", T.fnv1a(F.concat("p_name", F.col("p_partkey").cast("string"))).alias("hash"))
 
 
-@query("retry_after", "SELECT p_partkey, least(coalesce(CASE WHEN p_size % 3 = 0 THEN p_size * 5 END, 60), 120) AS seconds FROM part")
+# Cases by the number of a row; the answers are those of the rule, spelt out for each case.
+_HEADERS = {"0": 1.0, "junk": 60.0, " 30 ": 30.0, "121": None, "30.5": 30.5, "-5": 1.0, "1e2": 100.0, "120": 120.0, "inf": None, "NaN": 60.0, "2d": 60.0, "": 60.0}
+
+
+@query("retry_after", "SELECT p_partkey, CASE p_partkey % 13 " + " ".join(f"WHEN {k} THEN {'NULL' if v is None else f'{v}e0'}" for k, v in enumerate(_HEADERS.values())) + " ELSE least(p_size * 2e0 + 25e-2, 120e0) END AS seconds FROM part")
 def _(t):
-    header = F.when(F.col("p_size") % 3 == 0, (F.col("p_size") * 5).cast("string")).when(F.col("p_size") % 3 == 1, "soon")
-    return t("part").select("p_partkey", T.retry_after(header).cast("long").alias("seconds"))
+    header = F.get(F.array(*[F.lit(h) for h in _HEADERS]), (F.col("p_partkey") % 13).cast("int"))
+    return t("part").select("p_partkey", T.retry_after(F.coalesce(header, (F.col("p_size") * 2 + 0.25).cast("string"))).alias("seconds"))
 
 
 @query("is_before", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN false ELSE ts < TIMESTAMP '2024-02-01 10:00:00' END AS before FROM events")
@@ -446,9 +453,24 @@ def _(t):
     return t("events").select("event_id", T.truthy(value).alias("truthy"), T.as_int(value).cast("int").alias("number"))
 
 
-@query("decode_damage", """
-WITH l AS (SELECT event_id, 'frame ' || event_id || chr(10) || CASE WHEN event_id % 3 = 0 THEN 'Error while decoding MB 1' || chr(10) || 'concealing 4 errors' ELSE 'ok' END AS log FROM events)
-SELECT event_id, len(list_filter(string_split(lower(log), chr(10)), lambda x: regexp_matches(x, 'error while decoding|invalid data|corrupt|concealing'))) AS n FROM l""")
+# Lines of a decoder's log, and whether each tells of damage.
+_LOG = {
+    "[hevc @ 0x5] cu_chroma_qp_offset 5 outside the valid range": True,
+    "  [h264 @ 0x1] Error while decoding MB 1": True,
+    "[mp3 @ 0x2] Invalid data found": False,
+    "[hevc @ 0x5] Failed setup for format cuda: invalid": False,
+    "[av1_cuvid @ 0x9] concealing 4 errors": True,
+    "[hevc] error": False,
+    "[vp9 @ 0x3] a warning": False,
+    "error while decoding": False,
+}
+_SQL_LOG = "list_filter([" + ", ".join(f"CASE WHEN (event_id + {k}) % 3 = 0 THEN {1 if v else 0} END" for k, v in enumerate(_LOG.values())) + "], lambda x: x IS NOT NULL)"
+
+
+@query("decode_damage", f"SELECT event_id, CAST(list_sum({_SQL_LOG}) AS BIGINT) AS damage, CAST(len({_SQL_LOG}) - list_sum({_SQL_LOG}) AS BIGINT) AS other FROM events")
 def _(t):
-    log = F.concat(F.lit("frame "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, "\nError while decoding MB 1\nconcealing 4 errors").otherwise("\nok"))
-    return t("events").select("event_id", T.damage_lines(log).alias("n"))
+    lines = F.array(*[F.when((F.col("event_id") + k) % 3 == 0, F.lit(x)) for k, x in enumerate(_LOG)])
+    found = T.decoder_lines(F.array_join(F.array_compact(lines), "\r\n \n"))
+    return t("events").select("event_id", found.alias("f")).select("event_id", F.size("f.damage").cast("long").alias("damage"), "f.other")
+
+
