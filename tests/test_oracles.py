@@ -8,7 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from affinia.plans.store_queries import ORACLES, QUERIES
+from affinia.plans.registry import ORACLES, QUERIES
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,7 +48,7 @@ def test_same_rows(spark, duck, name):
 
 def test_what_has_no_sql():
     """These are held against plain versions in test_brute.py."""
-    assert set(QUERIES) - set(ORACLES) == {"shot_draw", "quantized_agreement", "greedy_matches", "file_changes", "merge_map", "device_clusters", "keyword_forms", "page_text"}
+    assert set(QUERIES) - set(ORACLES) == {"shot_draw", "quantized_agreement", "greedy_matches", "file_changes", "merge_map", "device_clusters", "keyword_forms", "page_text", "page_token_counts", "stream_outcomes"}
 
 
 def test_entry(spark):
