@@ -32,8 +32,8 @@ def placed_in_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], p
     before = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shift = stored(parts.select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"), F.sum("__n").over(whole).alias(size)), "shift")
     inside = F.row_number().over(Window.partitionBy("__part", *by).orderBy(*order))
-    numbered = dealt.withColumn("__at", inside).join(shift, [*by, "__part"])
-    return numbered.withColumn(place, (F.col("__shift") + F.col("__at") - 1).cast("long")).drop("__part", "__at", "__shift")
+    numbered = dealt.withColumn("__inside", inside).join(shift, [*by, "__part"])
+    return numbered.withColumn(place, (F.col("__shift") + F.col("__inside") - 1).cast("long")).drop("__part", "__inside", "__shift")
 
 
 def page(df: DataFrame, key: Sequence[str], after: Sequence | None = None, limit: int = 100) -> DataFrame:

@@ -1,11 +1,16 @@
-"""Queries of the drawn map: embeddings are titles placed by their first two numbers, an order's brands are tags."""
+"""Queries of the drawn map, of exact sums and draws, and of a store's versions.
+
+Embeddings are titles placed by their first two numbers, an order's brands are tags.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from affinia.operators import regions
-from affinia.plans.catalogue import query
+from affinia.operators import exact, layout, ranking, regions, tags, vectors
+from affinia.operators.shared import shared_path
+from affinia.plans.catalogue import _AXES, _frames, query
+from affinia.sources.store import Store
 
 EXCLUDED = ("Brand#7",)
 
@@ -63,3 +68,90 @@ def _(t):
 SELECT p.item, f.node, names.tag FROM p LEFT JOIN f USING (item) LEFT JOIN names ON names.node = f.node""")
 def _(t):
     return regions.labelled_points(_points(t), _tags(t), EXCLUDED)
+
+
+# --- layout, exact sums, draws -----------------------------------------------------------------------
+
+
+def _vocabulary(t):
+    """tag, column: names with brands, in order."""
+    named = t("part").select(F.concat("p_name", F.lit("/"), "p_brand").alias("tag")).distinct()
+    return ranking.placed_in_group(named, [], [F.col("tag")], "column").select("tag", "column")
+
+
+# SplitMix64 in numbers of 128 bits, cut to 64.
+_CUT = "CAST(({0}) % 18446744073709551616 AS UBIGINT)"
+_MUL = lambda a, b: _CUT.format(f"CAST({a} AS UHUGEINT) * {b}")
+
+
+@query("sign_words", f"""
+WITH t AS (SELECT tag, row_number() OVER (ORDER BY tag) - 1 AS "column" FROM (SELECT DISTINCT p_name || '/' || p_brand AS tag FROM part)),
+     s AS (SELECT tag, "column", word, {_CUT.format(f"CAST(xor(CAST(1 AS UBIGINT), {_MUL('"column"', layout.STEP)}) AS UHUGEINT) + CAST(word + 1 AS UHUGEINT) * {layout.STEP}")} AS z FROM t, (SELECT unnest([0, 1, 2, 3]) AS word)),
+     a AS (SELECT *, {_MUL("xor(z, z >> 30)", layout.FIRST_FACTOR)} AS y FROM s), b AS (SELECT *, {_MUL("xor(y, y >> 27)", layout.SECOND_FACTOR)} AS x FROM a)
+SELECT tag, "column", CAST(word AS INTEGER) AS word, lpad(lower(to_hex(xor(x, x >> 31))), 16, '0') AS bits FROM b""")
+def _(t):
+    return layout.sign_table(_vocabulary(t))
+
+
+def _near(t):
+    """item, other, weight: the nearest titles by their tags."""
+    return tags.nearest_titles(_tags(t).withColumnRenamed("item", "title")).select(F.col("title").alias("item"), "other", F.col("cosine").alias("weight"))
+
+
+@query("title_map")
+def _(t):
+    return layout.title_map(_tags(t), _near(t), EXCLUDED)
+
+
+@query("pairwise_norms", "SELECT vec_id AS id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm FROM embeddings")
+def _(t):
+    return t("embeddings").select(F.col("vec_id").alias("id"), F.round(exact.pairwise_norm("embedding").cast("double"), 4).alias("norm"))
+
+
+@query("tree_sums", "SELECT event_type, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def _(t):
+    return exact.tree_sums(t("events"), ["event_type"], [F.col("event_id")], "value").select("event_type", F.round("total", 4).alias("total"))
+
+
+@query("sequential_draw")
+def _(t):
+    scored = vectors.softmax(vectors.shot_scores(_frames(t), _AXES[0]), 0.1)
+    return exact.sequential_draw(scored, 10, 7, [F.desc("score"), F.asc("item"), F.asc("shot")]).select("item", "shot", "score", "pick")
+
+
+# --- versions of a store -----------------------------------------------------------------------------
+
+
+def _items(t):
+    n, brand = F.col("p_size"), F.col("p_brand")
+    return t("part").select(F.concat(F.lit("i"), F.col("p_partkey")).alias("item_id"), F.lit("movie").alias("type"), F.col("p_name").alias("title"), F.lower("p_name").alias("sort_title"), (n + 1950).alias("year"), F.lit(None).cast("string").alias("show_item_id"), F.lit(None).cast("int").alias("season"), F.lit(None).cast("int").alias("episode"), F.lit(None).cast("long").alias("duration_ms"), brand.alias("library"))
+
+
+def _edges(t):
+    return t("part").select(F.concat(F.lit("i"), F.col("p_partkey")).alias("from_id"), F.concat(F.lit("i"), F.floor(F.col("p_partkey") / 2)).alias("to_id"), F.lit("similar").alias("edge_type"), F.col("p_size").alias("rank"))
+
+
+@query("store_versions", """
+WITH n AS (SELECT count(*) AS parts, count(*) FILTER (p_size > 25) AS small FROM part)
+SELECT unnest(['first', 'same', 'edges changed', 'shrink refused', 'shrink stated', 'rolled back']) AS step, unnest([1, 1, 2, 2, 3, 4]) AS version,
+       unnest(['edges,items', '', 'edges', 'refused', 'items', 'edges,items']) AS written, unnest([parts, parts, parts, parts, small, parts]) AS items, unnest([parts, parts, small, small, small, parts]) AS edges FROM n""")
+def _(t):
+    """A store through two publications, one without a change, a refused and a stated loss of rows, and a way back."""
+    items, edges = _items(t), _edges(t)
+    few_items, few_edges = items.where("year > 1975"), edges.where("rank > 25")
+    store = Store(items.sparkSession, shared_path(items.sparkSession, "store"))
+    rows = []
+
+    def note(step: str, written: str) -> None:
+        rows.append((step, store.versions()[-1], written, store.table("items").count(), store.table("edges").count()))
+
+    for step, tables in (("first", {"items": items, "edges": edges}), ("same", {"items": items.repartition(3), "edges": edges}), ("edges changed", {"items": items, "edges": few_edges})):
+        note(step, ",".join(store.publish_changed(tables)[1]))
+    try:
+        store.publish_changed({"items": few_items})
+    except ValueError:
+        note("shrink refused", "refused")
+    note("shrink stated", ",".join(store.publish_changed({"items": few_items}, shrink={"items": few_items.count()})[1]))
+    store.rollback(1)
+    note("rolled back", ",".join(sorted(store.check_shape()["tables"])) if not store.damaged() else "damaged")
+    return items.sparkSession.createDataFrame(rows, "step string, version int, written string, items long, edges long")

@@ -19,8 +19,16 @@ class ShapeError(Exception):
     """The store was written in a shape that this reader doesn't know."""
 
 
+def digest(df: DataFrame) -> dict:
+    """rows and a sum of the rows' hashes: equal for the same rows in any order, with one small row to the driver."""
+    columns = sorted(df.columns)
+    hashed = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns]).cast("decimal(20,0)")
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(hashed).alias("sum")).first()
+    return {"rows": found["rows"], "sum": str(found["sum"] or 0)}
+
+
 class Store:
-    """Tables under root/v<n>/<table>, with the shape in root/v<n>/_meta."""
+    """Tables under root/v<n>/<table>; the manifest in root/v<n>/_meta names the shape, and each table's version and digest."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -65,15 +73,50 @@ class Store:
         for name, df in tables.items():
             declared = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].schema])
             declared.write.mode("overwrite").parquet(f"{at}/{name}")
+        before = self.check_shape() if versions else {"tables": {}}
+        held = before.get("digests", {})
+        digests = {name: digest(self.spark.read.schema(TABLES[name].schema).parquet(f"{at}/{name}")) for name in tables}
         for name in GUARDED:
             if versions and name in tables:
-                before, after = self.table(name).count(), self.spark.read.parquet(f"{at}/{name}").count()
-                if after < before and (shrink or {}).get(name) != after:
-                    raise ValueError(f"{name} would shrink from {before} to {after} rows")
-        meta = json.dumps({"schema_version": SCHEMA_VERSION, "reader_shape": READER_SHAPE, "tables": {**(self.check_shape()["tables"] if keep and versions else {}), **dict.fromkeys(sorted(tables), version)}})
-        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/_meta")
+                old, new = held[name]["rows"] if name in held else self.table(name).count(), digests[name]["rows"]
+                if new < old and (shrink or {}).get(name) != new:
+                    raise ValueError(f"{name} would shrink from {old} to {new} rows")
+        stay = keep and versions
+        self._seal(version, {**(before["tables"] if stay else {}), **dict.fromkeys(sorted(tables), version)}, {**(held if stay else {}), **digests})
         return version
 
+    def _seal(self, version: int, tables: Mapping[str, int], digests: Mapping[str, dict]) -> None:
+        """Writes a version's manifest: readers see the version, whole, from then on."""
+        meta = json.dumps({"schema_version": SCHEMA_VERSION, "reader_shape": READER_SHAPE, "tables": tables, "digests": digests})
+        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/v{version}/_meta")
+
+    def publish_changed(self, tables: Mapping[str, DataFrame], shrink: Mapping[str, int] | None = None) -> tuple[int, list[str]]:
+        """The version that holds these tables, and which were written: those whose digests differ, all in one new version.
+
+        Without a difference there is no new version. The tables are read for their digests before anything is written.
+        """
+        held = self.check_shape().get("digests", {}) if self.versions() else {}
+        changed = {}
+        for name, df in tables.items():
+            declared = df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].schema])
+            if digest(declared) != held.get(name):
+                changed[name] = df
+        if not changed:
+            return self.versions()[-1], []
+        return self.publish(changed, shrink, keep=True), sorted(changed)
+
+    def rollback(self, version: int) -> int:
+        """A new version with the tables of an earlier one: its files are named again, its row counts are not guarded."""
+        meta = self.check_shape(version)
+        new = self.versions()[-1] + 1
+        self._seal(new, meta["tables"], meta.get("digests", {}))
+        return new
+
+    def damaged(self, version: int | None = None) -> list[str]:
+        """The tables of a version whose rows are no longer those of its manifest."""
+        digests = self.check_shape(version).get("digests", {})
+        return sorted(name for name, known in digests.items() if digest(self.table(name, version)) != known)
+
     def upsert(self, name: str, rows: DataFrame, update: bool = True) -> int:
         """A new version in which a table has rows by its key."""
         old = self.table(name)
