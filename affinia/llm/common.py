@@ -56,13 +56,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, by: str, parts: int) -> DataFrame:
+def bucketed(df: DataFrame, name: str, by: str, parts: int, dealt: bool = False) -> DataFrame:
     """df, written to the shared folder in parts by a column's hash and sorted by it: joins by it need no further shuffle.
 
-    Only the files stay; the catalog's entry goes once the table is read.
+    Only the files stay; the catalog's entry goes once the table is read. With dealt, df already lies in so many
+    parts by the column, but for a few rows, and isn't dealt again.
     """
     spark, table = df.sparkSession, f"affinia_{uuid.uuid4().hex}"
-    df.repartition(parts, by).write.bucketBy(parts, by).sortBy(by).option("path", new_path(spark, name)).saveAsTable(table)
+    (df if dealt else df.repartition(parts, by)).write.bucketBy(parts, by).sortBy(by).option("path", new_path(spark, name)).saveAsTable(table)
     found = spark.table(table)
     found.schema  # resolved while the entry is there
     spark.sql(f"DROP TABLE {table}")

@@ -2,12 +2,16 @@
 
 A document's paragraphs (its lines that aren't empty, each once) have 64-bit digests. A line of more than
 LONG characters is cut into units, runs of words whose borders the hashes of the words pick, so that a
-long line edited in one place keeps the digests of its other units. A sketch has CELLS
-cells in three parts; a digest is counted, and xor-ed with its check, into one cell of each part. Two
-sketches subtract cell by cell: what both have cancels out. Peeling then takes digests from cells that
-hold a single one until nothing is left: those are the paragraphs that differ, and their number gives
-the likeness, common paragraphs over all. If peeling gets stuck, sketches with four times the cells are
-made; when even the largest would be too small, the digests themselves are compared.
+long line edited in one place keeps the digests of its other units. A sketch has cells in three parts; a
+digest is counted, and xor-ed with its check, into one cell of each part. Two sketches subtract cell by
+cell: what both have cancels out. Peeling then takes digests from cells that hold a single one until nothing
+is left: those are the paragraphs that differ, and their number gives the likeness, common paragraphs over all.
+
+Sketches to be subtracted have LEAST cells and ROOM more for each digest of the two texts, so that
+nearly all differences peel at once; what gets stuck is tried again with twice the cells, as often as it
+takes. A cell is a row: digests go to their cells, and cells are added up, in the task that holds the
+document (rows are stored in buckets by it), so that the work grows with the digests and not with the
+cells, and no cell crosses a shuffle. A round of peeling looks at one part of the cells, where a digest is once.
 
 A fingerprint is the sketch with CELLS cells, written as text.
 
@@ -24,13 +28,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinia.llm.common import id_of, ranked, stored
+from affinia.llm.common import bucketed, id_of, ranked, shuffle_parts, stored
 
-#: Cells of a fingerprint, and of the sketches of each further try.
-CELLS = 24
-TRIES = (CELLS, 4 * CELLS, 16 * CELLS)
-#: Peeling takes all cells with a single digest at once; so many times at most.
-ROUNDS = 12
+#: Cells of a fingerprint. Cells of sketches that are subtracted: some in any case, so that few digests seldom share
+#: all three of theirs, and more for each digest.
+CELLS, LEAST, ROOM = 24, 96, 1.6
+#: Rounds of peeling, a third of the cells each, between two tables.
+ROUNDS = 9
 
 #: A line of more characters is cut: after one word in BORDER, by its hash, and after MOST words at least.
 LONG, BORDER, MOST = 64, 8, 32
@@ -100,55 +104,78 @@ def sketch(keys: Column, cells: int = CELLS) -> Column:
     return bound(F.transform(keys, lambda key: _entry(key, cells)), lambda entries: F.concat(*[one_part(entries, k) for k in range(3)]))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: _cell(x["n"] - y["n"], x["key"].bitwiseXOR(y["key"]), x["check"].bitwiseXOR(y["check"])))
+#: SQL of the number of a cell of part k, for a digest (key) and a number of cells that three divides.
+_AT = "CAST(pmod(xxhash64(key, {0}), cells div 3) + {0} * (cells div 3) AS INT)"
+#: A cell as a struct, and one that only counts a digest found.
+_CELL = "named_struct('at', {0}, 'n', {1}, 'key', key, 'check', check, 'found', 0L)"
+_FOUND = "named_struct('at', -1, 'n', 0L, 'key', 0L, 'check', 0L, 'found', 1L)"
 
 
-def peeled(difference: Column, cells: int) -> Column:
-    """The number of digests in a difference of sketches; null if some can't be recovered.
+def difference(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by, cells, at, n, key, check, found: the cells of a minus those of b that aren't empty. pairs: by, a, b (digests), cells.
 
-    The steps alternate: look for the cells that hold one digest, then take those digests out.
+    Each digest is a row for each of its cells; adding up by cell makes both sketches and their difference in one pass.
     """
+    signed = "concat(transform(a, x -> named_struct('key', x, 'n', 1L)), transform(b, x -> named_struct('key', x, 'n', -1L)))"
+    each = pairs.selectExpr(*by, "cells", f"inline({signed})")
+    parts = ", ".join(_AT.format(k) for k in range(3))
+    return _added(each.selectExpr(*by, "cells", "n", "key", "xxhash64(key, 7) AS check", "0L AS found", f"explode(array({parts})) AS at"), by)
 
-    def with_cells(x: Column) -> Column:
-        return F.struct(x["n"].alias("n"), x["key"].alias("key"), x["check"].alias("check"), *_places(x["key"], cells))
-
-    def single(all_: Column) -> Column:
-        pure = F.filter(all_, lambda c: (F.abs(c["n"]) == 1) & (c["check"] == F.xxhash64(c["key"], F.lit(7))))
-        return F.array_distinct(F.transform(pure, with_cells))
 
-    def taken(all_: Column, out: Column) -> Column:
-        less = lambda acc, p: _cell(acc["n"] - p["n"], acc["key"].bitwiseXOR(p["key"]), acc["check"].bitwiseXOR(p["check"]))
-        return F.transform(all_, lambda c, i: F.aggregate(F.filter(out, lambda p: (p["at0"] == i) | (p["at1"] == i) | (p["at2"] == i)), c, less))
+def _added(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The cells that aren't empty, and each pair's count of digests found, at -1."""
+    sums = rows.groupBy(*by, "cells", "at").agg(*[F.expr(f"{f}({c}) AS {c}") for f, c in (("sum", "n"), ("bit_xor", "key"), ("bit_xor", "check"), ("sum", "found"))])
+    return sums.where("n <> 0 OR key <> 0 OR check <> 0 OR found <> 0")
 
-    none = F.filter(single(difference), lambda x: F.lit(False))
 
-    def step(state: Column, _: Column) -> Column:
-        looks = F.size(state["out"]) == 0
-        return F.struct(
-            F.when(looks, state["all"]).otherwise(taken(state["all"], state["out"])).alias("all"),
-            F.when(looks, single(state["all"])).otherwise(F.filter(state["out"], lambda x: F.lit(False))).alias("out"),
-            F.when(looks, state["found"]).otherwise(state["found"] + F.size(state["out"])).alias("found"),
-        )
+def _round(cells: DataFrame, by: list[str], k: int) -> DataFrame:
+    """Takes the digests that are alone in a cell of part k out of their other cells, and counts them."""
+    alone = f"abs(n) = 1 AND check = xxhash64(key, 7) AND at = {_AT.format(k)}"
+    others = ", ".join(_CELL.format(_AT.format(j), "-n") for j in range(3) if j != k)
+    same = "named_struct('at', at, 'n', n, 'key', key, 'check', check, 'found', found)"
+    return _added(cells.selectExpr(*by, "cells", f"inline(CASE WHEN {alone} THEN array({_FOUND}, {others}) ELSE array({same}) END)"), by)
 
-    empty = lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["check"] == 0)
-    start = F.struct(difference.alias("all"), none.alias("out"), F.lit(0).alias("found"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * ROUNDS)), start, step, lambda s: F.when(F.forall(s["all"], empty), s["found"]))
 
+def _rounds(cells: DataFrame, by: list[str]) -> DataFrame:
+    for r in range(ROUNDS):
+        cells = _round(cells, by, r % 3)
+    return stored(cells, "peeled")
 
-def differing(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
-    """How many digests are in one of two arrays only: by their fingerprints' cells, and by larger sketches on failure."""
-    apart = F.abs(F.size(a) - F.size(b))
-    first = F.when(apart <= CELLS, peeled(subtract(of_a, of_b), CELLS))
-    tries = [F.when(apart <= cells, peeled(subtract(sketch(a, cells), sketch(b, cells)), cells)) for cells in TRIES[1:]]
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return F.coalesce(first, *tries, exact)
 
+def peeled(cells: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of differences: by, found (digests recovered, in parts to be added up), and by of those where some can't be.
 
-def likeness(a: Column, b: Column, of_a: Column, of_b: Column) -> Column:
-    """Common over all digests of two arrays, from the number that differ. of_a, of_b: their fingerprints' cells."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(bound(differing(a, b, of_a, of_b), lambda d: (both - d) / (both + d)))
+    The cells left after some rounds are stored and peeled on, few as they are, as long as any round finds something.
+    """
+    left = _rounds(cells, by)
+    found = left.where("at < 0").select(*by, "found")
+    left = left.where("at >= 0")
+    while not left.isEmpty():
+        more = _rounds(left, by)
+        left = more.where("at >= 0")
+        if more.where("at < 0").isEmpty():
+            break
+        found = found.unionByName(more.where("at < 0").select(*by, "found"))
+    return found, left.select(*by).distinct()
+
+
+def differing(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """by, found: how many digests are in one of a and b only, in parts to be added up; no row where none is.
+
+    pairs: by, a, b; stored in buckets of by's first column, so that cells are added up without a shuffle. Pairs that
+    get stuck are tried with twice the cells until none is; only whether any is left reaches the driver.
+    """
+    sized = pairs.withColumn("cells", (F.lit(LEAST) + 3 * F.ceil((F.size("a") + F.size("b")) * ROOM / 3)).cast("int"))
+    found, stuck = peeled(difference(sized, by), by)
+    times, out = 1, None
+    while not stuck.isEmpty():
+        times *= 2
+        stuck = stored(stuck, "stuck")
+        good = found.join(stuck, by, "left_anti")
+        out = good if out is None else out.unionByName(good)
+        again = sized.join(stuck, by, "left_semi").withColumn("cells", F.col("cells") * times)
+        found, stuck = peeled(difference(again, by), by)
+    return found if out is None else out.unionByName(found)
 
 
 def written(cells: Column) -> Column:
@@ -166,20 +193,35 @@ def following(ids: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, head (the next text's first quarter of this one's length), next_keys (its digests).
+    """doc_id, text, keys (its digests), head (the next text's first quarter of this one's length), next_keys.
 
-    Texts cross one shuffle, by id, which both joins use.
+    Texts cross one shuffle, by id and with their digests, which both joins use.
     """
-    texts = docs.select(id_of(docs), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(id_of(docs), F.coalesce("text", F.lit("")).alias("text"), digests(F.col("text")).alias("keys"))
     known = texts.where("doc_id IS NOT NULL")
     sizes = docs.select(id_of(docs), F.char_length(F.coalesce("text", F.lit(""))).alias("n")).where("doc_id IS NOT NULL")
     slim = stored(sizes.groupBy("doc_id").agg(F.max("n").alias("n")), "lengths")
     needs = stored(following(slim).join(slim, "doc_id").select(F.col("next_id").alias("src"), F.col("doc_id").alias("dst"), F.floor(F.col("n") / 4).cast("int").alias("need")), "needs")
-    heads = known.join(needs, F.col("doc_id") == F.col("src")).select("dst", F.struct(F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"), digests(F.col("text")).alias("keys")).alias("next"))
+    heads = known.join(needs, F.col("doc_id") == F.col("src")).select("dst", F.struct(F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"), "keys").alias("next"))
     one = heads.groupBy("dst").agg(F.min("next").alias("next"))
     none = F.array().cast("array<bigint>")
-    joined = known.join(one, F.col("doc_id") == F.col("dst"), "left").select("doc_id", "text", F.coalesce("next.head", F.lit("")).alias("head"), F.coalesce("next.keys", none).alias("next_keys"))
-    return joined.unionByName(texts.where("doc_id IS NULL").select("doc_id", "text", F.lit("").alias("head"), none.alias("next_keys")))
+    joined = known.join(one, F.col("doc_id") == F.col("dst"), "left").select("doc_id", "text", "keys", F.coalesce("next.head", F.lit("")).alias("head"), F.coalesce("next.keys", none).alias("next_keys"))
+    return joined.unionByName(texts.where("doc_id IS NULL").select("doc_id", "text", "keys", F.lit("").alias("head"), none.alias("next_keys")))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows, stored in buckets of the column bucket (the id, or a number where it is null), each with a number of its own.
+
+    Edited digests begin as the text's own do: only how many are the same, and those that follow, are stored.
+    """
+    row = F.monotonically_increasing_id()
+    same = F.array_position(F.zip_with("keys", "edited_keys", lambda a, b: a.eqNullSafe(b)), False).cast("int") - 1
+    slim = rows.withColumn("row", row).withColumn("bucket", F.coalesce("doc_id", F.xxhash64("row"))).withColumn("same", F.when(same < 0, F.least(F.size("keys"), F.size("edited_keys"))).otherwise(same))
+    slim = slim.withColumn("edited_keys", F.slice("edited_keys", F.col("same") + 1, F.greatest(F.size("edited_keys") - F.col("same"), F.lit(0))))
+    kept = bucketed(slim, "digests", "bucket", shuffle_parts(rows.sparkSession), dealt=True)
+    # A row is a group of its own: this keeps Spark reading by bucket, below the explosions that follow.
+    kept = kept.groupBy("bucket", "row").agg(*[F.first(c).alias(c) for c in kept.columns if c not in ("bucket", "row")])
+    return kept.withColumn("edited_keys", F.concat(F.slice("keys", F.lit(1), F.col("same")), "edited_keys")).drop("same")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -187,16 +229,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("head"), F.lit(1), quarter))
-    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_keys")
-    keyed = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("keys"), digests(F.col("edited")).alias("edited_keys"), "next_keys")
-    sketched = keyed.select("*", *[sketch(F.col(c)).alias(f"{c}_cells") for c in ("keys", "edited_keys", "next_keys")])
-    like = lambda other: likeness(F.col("keys"), F.col(other), F.col("keys_cells"), F.col(f"{other}_cells"))
-    return sketched.select(
+    rows = with_next(docs).select("doc_id", n.cast("long").alias("n_chars"), "keys", "next_keys", edited.alias("edited"))
+    rows = rows.select("doc_id", "n_chars", "keys", "next_keys", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_keys"))
+    kept = _kept(rows)
+    other = F.explode(F.array(*[F.struct(F.lit(which).alias("which"), F.col(c).alias("b")) for which, c in enumerate(("edited_keys", "next_keys"))]))
+    pairs = kept.select("bucket", "row", F.col("keys").alias("a"), other.alias("o")).select("bucket", "row", "o.which", "a", "o.b")
+    by = ["bucket", "row", "which"]
+    differ = [F.sum(F.when(F.col("which") == k, F.col("found"))).alias(f"d{k}") for k in range(2)]
+    found = stored(differing(pairs, by).groupBy("bucket", "row").agg(*differ), "found")
+
+    def near(keys: str, d: str) -> Column:
+        both = F.size("keys") + F.size(keys)
+        apart = F.coalesce(d, F.lit(0))
+        return F.when(both == 0, F.lit(1.0)).otherwise((both - apart) / (both + apart))
+
+    return kept.join(found, ["bucket", "row"], "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        written(F.col("keys_cells")).alias("fingerprint"),
-        written(F.col("edited_keys_cells")).alias("edited_fingerprint"),
-        like("edited_keys").alias("near_edited"),
-        like("next_keys").alias("near_next"),
+        written(sketch(F.col("keys"))).alias("fingerprint"),
+        written(sketch(F.col("edited_keys"))).alias("edited_fingerprint"),
+        near("edited_keys", "d0").alias("near_edited"),
+        near("next_keys", "d1").alias("near_next"),
     )

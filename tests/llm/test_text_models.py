@@ -282,10 +282,30 @@ def test_a_long_line_edited_in_part_stays_near(docs_of):
     assert IB.fingerprints(pair).where("doc_id = 0").first().near_next > 0.95
 
 
+def total(found):
+    return {r.pair: r.n for r in found.groupBy("pair").agg(F.sum("found").alias("n")).collect()}
+
+
 def test_peeling_recovers_or_fails(spark):
-    a, b = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda x: F.xxhash64(x)), F.transform(F.sequence(F.lit(8), F.lit(42)), lambda x: F.xxhash64(x))
-    row = spark.range(1).select(IB.peeled(IB.subtract(IB.sketch(a, 24), IB.sketch(b, 24)), 24).alias("few"), IB.peeled(IB.subtract(IB.sketch(a, 24), IB.sketch(F.array().cast("array<bigint>"), 24)), 24).alias("many"), IB.differing(a, b, IB.sketch(a), IB.sketch(b)).alias("d")).first()
-    assert row.few == row.d == 9 and row.many is None
+    """24 cells hold a difference of 9 but not one of 40, which larger sketches do."""
+    keys = lambda a, b: F.transform(F.sequence(F.lit(a), F.lit(b)), lambda x: F.xxhash64(x))
+    none = F.array().cast("array<bigint>")
+    pairs = [(0, keys(1, 40), keys(8, 42)), (1, keys(1, 40), none), (2, keys(1, 40), keys(1, 40)), (3, none, none), (4, none, keys(1, 1500))]
+    table = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), a.alias("a"), b.alias("b")) for k, a, b in pairs])).alias("x")).select("x.*")
+    found, stuck = IB.peeled(IB.difference(table.withColumn("cells", F.lit(24)), ["pair"]), ["pair"])
+    assert {r.pair for r in stuck.collect()} == {1, 4} and found.where("pair = 0").agg(F.sum("found")).first()[0] == 9
+    assert total(IB.differing(table, ["pair"])) == {0: 9, 1: 40, 4: 1500}
+
+
+def test_stuck_pairs_are_tried_larger(spark, monkeypatch):
+    """With far too few cells at first, every difference is still found whole."""
+    monkeypatch.setattr(IB, "ROOM", 0.05)
+    monkeypatch.setattr(IB, "LEAST", 6)
+    rnd = random.Random(12)
+    sets = [(k, [rnd.getrandbits(63) for _ in range(rnd.randint(0, 300))]) for k in range(60)]
+    rows = [(k, a, a[: len(a) // 2] + [rnd.getrandbits(63) for _ in range(rnd.randint(0, 99))]) for k, a in sets]
+    table = spark.createDataFrame(rows, "pair long, a array<long>, b array<long>").repartition(3)
+    assert total(IB.differing(table, ["pair"])) == {k: len(set(a) ^ set(b)) for k, a, b in rows if set(a) != set(b)}
 
 
 def test_language(docs_of):
