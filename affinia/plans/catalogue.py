@@ -523,8 +523,8 @@ def _(t):
 def _(t):
     keys = t("part").select(F.col("p_size").cast("string").alias("k")).union(t("part").select("p_type")).distinct()
     digits = F.col("k").rlike("^[0-9]+$")
-    w = Window.orderBy(~digits, F.when(digits, F.col("k").cast("long")), "k")
-    return keys.select("k", F.row_number().over(w).cast("long").alias("place"))  # a list of sections
+    placed = ranking.placed_in_group(keys, [], [~digits, F.when(digits, F.col("k").cast("long")), F.col("k")])
+    return placed.select("k", (F.col("place") + 1).alias("place"))
 
 
 @query("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
