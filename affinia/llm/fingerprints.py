@@ -32,9 +32,11 @@ from affinia.llm.common import bucketed, id_of, ranked, shuffle_parts, stored
 
 #: Cells of a fingerprint. Cells of sketches that are subtracted: some in any case, so that few digests seldom share
 #: all three of theirs, and more for each digest.
-CELLS, LEAST, ROOM = 24, 96, 1.6
+CELLS, LEAST, ROOM = 24, 96, 10.0
 #: Rounds of peeling, a third of the cells each, between two tables.
-ROUNDS = 9
+ROUNDS = 4
+#: Buckets for each part of the shuffle: the cells of a bucket are added up in memory.
+BUCKETS = 4
 
 #: A line of more characters is cut: after one word in BORDER, by its hash, and after MOST words at least.
 LONG, BORDER, MOST = 64, 8, 32
@@ -112,7 +114,7 @@ _FOUND = "named_struct('at', -1, 'n', 0L, 'key', 0L, 'check', 0L, 'found', 1L)"
 
 
 def difference(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """by, cells, at, n, key, check, found: the cells of a minus those of b that aren't empty. pairs: by, a, b (digests), cells.
+    """by, at, cells, n, key, check, found: the cells of a minus those of b that aren't empty. pairs: by, a, b (digests), cells.
 
     Each digest is a row for each of its cells; adding up by cell makes both sketches and their difference in one pass.
     """
@@ -124,7 +126,7 @@ def difference(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 def _added(rows: DataFrame, by: list[str]) -> DataFrame:
     """The cells that aren't empty, and each pair's count of digests found, at -1."""
-    sums = rows.groupBy(*by, "cells", "at").agg(*[F.expr(f"{f}({c}) AS {c}") for f, c in (("sum", "n"), ("bit_xor", "key"), ("bit_xor", "check"), ("sum", "found"))])
+    sums = rows.groupBy(*by, "at").agg(*[F.expr(f"{f}({c}) AS {c}") for f, c in (("max", "cells"), ("sum", "n"), ("bit_xor", "key"), ("bit_xor", "check"), ("sum", "found"))])
     return sums.where("n <> 0 OR key <> 0 OR check <> 0 OR found <> 0")
 
 
@@ -218,7 +220,7 @@ def _kept(rows: DataFrame) -> DataFrame:
     same = F.array_position(F.zip_with("keys", "edited_keys", lambda a, b: a.eqNullSafe(b)), False).cast("int") - 1
     slim = rows.withColumn("row", row).withColumn("bucket", F.coalesce("doc_id", F.xxhash64("row"))).withColumn("same", F.when(same < 0, F.least(F.size("keys"), F.size("edited_keys"))).otherwise(same))
     slim = slim.withColumn("edited_keys", F.slice("edited_keys", F.col("same") + 1, F.greatest(F.size("edited_keys") - F.col("same"), F.lit(0))))
-    kept = bucketed(slim, "digests", "bucket", shuffle_parts(rows.sparkSession), dealt=True)
+    kept = bucketed(slim, "digests", "bucket", BUCKETS * shuffle_parts(rows.sparkSession), dealt=True)
     # A row is a group of its own: this keeps Spark reading by bucket, below the explosions that follow.
     kept = kept.groupBy("bucket", "row").agg(*[F.first(c).alias(c) for c in kept.columns if c not in ("bucket", "row")])
     return kept.withColumn("edited_keys", F.concat(F.slice("keys", F.lit(1), F.col("same")), "edited_keys")).drop("same")
@@ -233,10 +235,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "n_chars", "keys", "next_keys", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("edited")).alias("edited_keys"))
     kept = _kept(rows)
     other = F.explode(F.array(*[F.struct(F.lit(which).alias("which"), F.col(c).alias("b")) for which, c in enumerate(("edited_keys", "next_keys"))]))
-    pairs = kept.select("bucket", "row", F.col("keys").alias("a"), other.alias("o")).select("bucket", "row", "o.which", "a", "o.b")
-    by = ["bucket", "row", "which"]
-    differ = [F.sum(F.when(F.col("which") == k, F.col("found"))).alias(f"d{k}") for k in range(2)]
-    found = stored(differing(pairs, by).groupBy("bucket", "row").agg(*differ), "found")
+    pairs = kept.select("bucket", "row", F.col("keys").alias("a"), other.alias("o")).select("bucket", (2 * F.col("row") + F.col("o.which")).alias("pair"), "a", "o.b")
+    differ = [F.sum(F.when(F.pmod("pair", F.lit(2)) == k, F.col("found"))).alias(f"d{k}") for k in range(2)]
+    found = stored(differing(pairs, ["bucket", "pair"]).groupBy("bucket", F.shiftright("pair", 1).alias("row")).agg(*differ), "found")
 
     def near(keys: str, d: str) -> Column:
         both = F.size("keys") + F.size(keys)
