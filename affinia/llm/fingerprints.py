@@ -197,18 +197,19 @@ def following(ids: DataFrame) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, keys (its digests), head (the next text's first quarter of this one's length), next_keys.
 
-    Texts cross one shuffle, by id and with their digests, which both joins use.
+    Texts cross one shuffle, by id, which both joins use. Digests are made behind it, once for each join: they would
+    take a quarter of the texts' room on disk.
     """
-    texts = docs.select(id_of(docs), F.coalesce("text", F.lit("")).alias("text"), digests(F.col("text")).alias("keys"))
+    texts = docs.select(id_of(docs), F.coalesce("text", F.lit("")).alias("text"))
     known = texts.where("doc_id IS NOT NULL")
     sizes = docs.select(id_of(docs), F.char_length(F.coalesce("text", F.lit(""))).alias("n")).where("doc_id IS NOT NULL")
     slim = stored(sizes.groupBy("doc_id").agg(F.max("n").alias("n")), "lengths")
     needs = stored(following(slim).join(slim, "doc_id").select(F.col("next_id").alias("src"), F.col("doc_id").alias("dst"), F.floor(F.col("n") / 4).cast("int").alias("need")), "needs")
-    heads = known.join(needs, F.col("doc_id") == F.col("src")).select("dst", F.struct(F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"), "keys").alias("next"))
+    heads = known.join(needs, F.col("doc_id") == F.col("src")).select("dst", F.struct(F.substring(F.col("text"), F.lit(1), F.col("need")).alias("head"), digests(F.col("text")).alias("keys")).alias("next"))
     one = heads.groupBy("dst").agg(F.min("next").alias("next"))
     none = F.array().cast("array<bigint>")
-    joined = known.join(one, F.col("doc_id") == F.col("dst"), "left").select("doc_id", "text", "keys", F.coalesce("next.head", F.lit("")).alias("head"), F.coalesce("next.keys", none).alias("next_keys"))
-    return joined.unionByName(texts.where("doc_id IS NULL").select("doc_id", "text", "keys", F.lit("").alias("head"), none.alias("next_keys")))
+    joined = known.join(one, F.col("doc_id") == F.col("dst"), "left").select("doc_id", "text", digests(F.col("text")).alias("keys"), F.coalesce("next.head", F.lit("")).alias("head"), F.coalesce("next.keys", none).alias("next_keys"))
+    return joined.unionByName(texts.where("doc_id IS NULL").select("doc_id", "text", digests(F.col("text")).alias("keys"), F.lit("").alias("head"), none.alias("next_keys")))
 
 
 def _kept(rows: DataFrame) -> DataFrame:
