@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from affinia.functions import text as T
-from affinia.operators import changes, clusters, matching, ranking, tags, taste, timeline, vectors
+from affinia.operators import cells, changes, clusters, matching, ranking, tags, taste, timeline, vectors
 from affinia.sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,6 +283,13 @@ def _(t):
     return vectors.nearest_vectors(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10, 0.3)
 
 
+@query("close_vectors", f"""
+WITH f AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT x.id, y.id AS other, round({_COS}, 6) AS cosine FROM f x JOIN f y ON x.id <> y.id)
+SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, other) AS place FROM s WHERE cosine >= 0.4 QUALIFY place <= 10""")
+def _(t):
+    return cells.close_vectors(t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 10, 0.4)
+
+
 @query("quantized_agreement")
 def _(t):
     base = t("embeddings").select(F.col("label").alias("item"), F.col("vec_id").alias("id"), "embedding")
