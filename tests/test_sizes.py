@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from affinia.plans.registry import QUERIES
+from affinia.sources import pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,3 +20,18 @@ def test_recursion_beyond_the_row_limit(spark):
         while way[-1] > 0:
             way.append(way[-1] // 2)
         assert got == (len(way) - 1, sum(way))
+
+
+def test_lists_of_many_pages(spark):
+    page = "<head><meta name=description content='A list of {n} films'><body class=list-page><h1 class=title-1>x</h1><li data-item-slug=f{k} data-item-name=F>{link}"
+    rows = []
+    for name, n, last in (("long", 150, None), ("lost", 130, "/gone"), ("round", 9, "/round/4"), ("short", 8, None)):
+        for k in range(n):
+            to = f"/{name}/{k + 1}" if k < n - 1 else last
+            rows.append((f"/{name}/{k}", page.format(n=n + (name == "short"), k=k, link=f"<a class=next href={to}>" if to else "")))
+    lists = spark.createDataFrame([(x, f"/{x}/0") for x in ("long", "lost", "round", "short", "none")], "list string, path string")
+    table = spark.createDataFrame(rows, "path string, html string")
+    assert sorted((r.list, r.page) for r in pages.followed(lists, table).collect()) == sorted((x, k + 1) for x, n in (("long", 150), ("lost", 130), ("round", 9), ("short", 8)) for k in range(n))
+    none = spark.createDataFrame([], "slug string, html string"), spark.createDataFrame([], "kind string, tmdb_id string, item_id string")
+    outcomes = {r.list: (r.entries, r.outcome) for r in pages.harvested(lists, table, *none)[1].collect()}
+    assert outcomes == {"long": (150, "too_long"), "lost": (130, "broken"), "round": (9, "broken"), "short": (8, "short"), "none": (0, "missing")}
