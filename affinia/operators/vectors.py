@@ -9,11 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinia.operators.products import CELLS, best, paired
 from affinia.operators.ranking import top_per_group
+from affinia.operators.shared import stored
 
-
-#: Rows of a block in a product of all pairs.
-BLOCK = 1024
+#: Rows of a block in a product of all pairs, at least and at most, and blocks that there are up to the most.
+BLOCK, MOST, BLOCKS = 1024, 32_768, 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -89,16 +90,56 @@ def peaks(series: DataFrame, spacing_ms: int = 120_000, most: int = 4) -> DataFr
     return found.select("item", F.col("x.t_ms").alias("t_ms"), (-F.col("x.minus")).alias("score"), (F.col("i") + 1).cast("long").alias("place"))
 
 
-def chamfer(frames: DataFrame, candidates: DataFrame) -> DataFrame:
-    """a, b, score: the mean of each frame's best match, the smaller of both directions. frames: item, t_ms, vector; candidates: a, b."""
-    left = frames.select(F.col("item").alias("a"), F.col("t_ms").alias("ta"), F.col("vector").alias("va"))
-    right = frames.select(F.col("item").alias("b"), F.col("t_ms").alias("tb"), F.col("vector").alias("vb"))
-    sims = candidates.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", cosine(F.col("va"), F.col("vb")).alias("s"))
-    ways = []
-    for t in ("ta", "tb"):
-        best = sims.groupBy("a", "b", t).agg(F.max("s").alias("s"))
-        ways.append(best.groupBy("a", "b").agg(F.avg("s").alias(f"mean_{t}")))
-    return ways[0].join(ways[1], ["a", "b"]).select("a", "b", F.round(F.least("mean_ta", "mean_tb"), 6).alias("score"))
+def chamfer(frames: DataFrame, candidates: DataFrame, per_piece: int = MOST, per_group: int = MOST) -> DataFrame:
+    """a, b, score: the mean of each frame's best match, the smaller of both directions. frames: item, t_ms, vector; candidates: a, b.
+
+    An item's frames are cut into pieces, and each pair of pieces of a candidate is one product of matrices; small
+    ones share a group. A frame is copied once for each piece of each item that its own is compared with.
+    """
+    whole = F.when(~F.exists("vector", lambda x: x.isNull()), F.col("vector"))
+    cut = frames.select("item", "t_ms", whole.alias("vector"))
+    sizes = stored(cut.groupBy("item").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    pieces = sizes.select("item", F.ceil(F.col("n") / per_piece).cast("int").alias("pieces"))
+    cut = cut.join(pieces, "item").withColumn("piece", F.pmod(F.xxhash64("t_ms"), F.col("pieces")).cast("int"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    jobs = candidates.select("a", "b").distinct().join(pieces.toDF("a", "na"), "a").join(pieces.toDF("b", "nb"), "b")
+    jobs = stored(jobs.withColumn("pa", upto("na")).withColumn("pb", upto("nb")).select("a", "b", "pa", "pb"), "jobs")
+    sides = [jobs.select("a", "b", "pa", "pb", F.col(x).alias("item"), F.col(p).alias("piece"), F.lit(k).alias("side")) for k, (x, p) in enumerate((("a", "pa"), ("b", "pb")))]
+    rows = jobs.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b").join(pieces.toDF("a", "na"), "a").join(pieces.toDF("b", "nb"), "b")
+    sent = rows.agg(F.sum(F.col("n") / F.col("na") + F.col("m") / F.col("nb"))).first()[0] or 0
+    group = F.pmod(F.xxhash64("a", "b", "pa", "pb"), F.lit(max(1, int(sent // per_group)))).alias("group")
+    met = sides[0].unionByName(sides[1]).join(cut.drop("pieces"), ["item", "piece"]).select(group, "a", "b", "pa", "pb", "side", "t_ms", "vector")
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [pdf[["a", "b", "side", "t_ms"]][:0].assign(s=0.0)]
+        for _, job in pdf.groupby(["a", "b", "pa", "pb"], sort=False):
+            one, two = job[job.side == 0], job[job.side == 1]
+            if len(one) and len(two):
+                ends = [best_cosines(x.vector.tolist(), y.vector.tolist()) for x, y in ((one, two), (two, one))]
+                out += [x[["a", "b", "side", "t_ms"]].assign(s=s) for x, s in zip((one, two), ends, strict=True)]
+        return pd.concat(out[1:] or out)
+
+    kinds = dict(frames.dtypes)
+    best_of = met.groupBy("group").applyInPandas(products, f"a {kinds['item']}, b {kinds['item']}, side int, t_ms {kinds['t_ms']}, s double")
+    means = best_of.groupBy("a", "b", "side", "t_ms").agg(F.max("s").alias("s")).groupBy("a", "b", "side").agg(F.avg("s").alias("mean"))
+    return means.groupBy("a", "b").agg(F.round(F.min("mean"), 6).alias("score"))
+
+
+def best_cosines(rows: list, others: list) -> np.ndarray:
+    """Each row's largest cosine with any of the others; 0 with one of another width, a null or a zero vector."""
+    widths = [np.array([-1 if v is None else len(v) for v in some]) for some in (rows, others)]
+    out = np.full(len(rows), -np.inf)
+    for width in np.unique(widths[0]):
+        mine, theirs = np.flatnonzero(widths[0] == width), np.flatnonzero(widths[1] == width)
+        if len(theirs) < len(others) or width < 1:
+            out[mine] = 0.0
+        if len(theirs) and width > 0:
+            x, y = (np.stack([some[k] for k in at]).astype(np.float64) for some, at in ((rows, mine), (others, theirs)))
+            x, y = (v / np.where(n > 0, n, 1) for v, n in ((v, np.linalg.norm(v, axis=1, keepdims=True)) for v in (x, y)))
+            step = max(1, CELLS // len(y))
+            most = np.concatenate([(x[low : low + step] @ y.T).max(axis=1) for low in range(0, len(x), step)])
+            out[mine] = np.maximum(out[mine], most)
+    return out
 
 
 def nearest_vectors(rows: DataFrame, top: int, least: float, per_block: int = BLOCK) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from affinia.operators import matching, tags, vectors
 from affinia.plans.registry import QUERIES
 from affinia.sources import pages
 
@@ -35,3 +38,37 @@ def test_lists_of_many_pages(spark):
     none = spark.createDataFrame([], "slug string, html string"), spark.createDataFrame([], "kind string, tmdb_id string, item_id string")
     outcomes = {r.list: (r.entries, r.outcome) for r in pages.harvested(lists, table, *none)[1].collect()}
     assert outcomes == {"long": (150, "too_long"), "lost": (130, "broken"), "round": (9, "broken"), "short": (8, "short"), "none": (0, "missing")}
+
+
+def test_chamfer_in_pieces(spark):
+    rng = np.random.default_rng(3)
+    frames = [(int(k % 4), int(k // 8), [float(x) for x in rng.normal(size=5)]) for k in range(80)]
+    frames += [(1, 99, [0.0] * 5), (2, 98, None), (3, 97, [1.0, 2.0]), (0, 96, [1.0, None, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(frames, "item long, t_ms long, vector array<double>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 9), (0, 1)], "a long, b long")
+
+    def cosine(u, v):
+        if u is None or v is None or len(u) != len(v) or None in u or None in v or not any(u) or not any(v):
+            return 0.0
+        return float(np.dot(u, v) / (np.linalg.norm(u) * np.linalg.norm(v)))
+
+    def mean(a, b):
+        best = {}
+        for x in (f for f in frames if f[0] == a):
+            s = max(cosine(x[2], y[2]) for y in frames if y[0] == b)
+            best[x[1]] = max(best.get(x[1], -2), s)
+        return sum(best.values()) / len(best)
+
+    want = {(a, b): round(min(mean(a, b), mean(b, a)), 6) for a, b in ((0, 1), (0, 2), (1, 3))}
+    for sizes in ((7, 1), (32, 1000)):
+        got = {(r.a, r.b): r.score for r in vectors.chamfer(table, pairs, *sizes).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert vectors.chamfer(table.limit(0), pairs).count() == 0
+
+
+def test_no_row_for_each_pair_of_frames(spark):
+    """The products are made in tasks: only a frame's best of each piece leaves them."""
+    rows = [(k % 3, k, [float(k % 7 + 1), float(k % 5)]) for k in range(300)]
+    frames = spark.createDataFrame(rows, "item long, t_ms long, vector array<double>")
+    plan = vectors.chamfer(frames, spark.createDataFrame([(0, 1)], "a long, b long"))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "zip_with" not in plan
