@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from affinia.operators.ranking import first_per_group
 
 WINDOW_S = 900
+#: Rows of a group of stretches.
+PER_GROUP = 20_000
 
 
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], window: int = WINDOW_S) -> DataFrame:
@@ -27,31 +30,44 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], wind
     return first_per_group(met, ["left_id"], [F.asc("delta"), F.asc("__t"), F.asc("right_id")]).select("left_id", "right_id", "delta")
 
 
-def greedy_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], window: int = WINDOW_S) -> DataFrame:
+def greedy_matches(left: DataFrame, right: DataFrame, keys: Sequence[str], window: int = WINDOW_S, per_group: int = PER_GROUP) -> DataFrame:
     """As nearest_in_time, but one to one: left rows in order of their id claim the nearest row still free.
 
     A key's rows are cut where more than the window passes without any: no match reaches across. Each such
-    stretch with rows on both sides is solved on its own.
+    stretch with rows on both sides is solved on its own; stretches are dealt to groups of about per_group rows.
     """
     a = left.select(*keys, F.col("left_id").alias("id"), "t", F.lit(0).alias("side"))
     b = right.select(*keys, F.col("right_id").alias("id"), "t", F.lit(1).alias("side"))
 
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = sorted(zip(pdf[pdf.side == 1].t, pdf[pdf.side == 1].id, strict=True))
-        out = []
-        for id_, t in sorted(zip(pdf[pdf.side == 0].id, pdf[pdf.side == 0].t, strict=True)):
+    def claim(lefts: list[tuple], free: list[tuple]) -> Iterator[tuple]:
+        free.sort()
+        for id_, t in sorted(lefts):
             at = bisect_left(free, (t,))
             near = [i for i in (bisect_left(free, (free[at - 1][0],)) if at else -1, at) if 0 <= i < len(free)]
             best = min(near, key=lambda i: (abs(free[i][0] - t), free[i]), default=None)
             if best is not None and abs(free[best][0] - t) <= window:
                 u, other = free.pop(best)
-                out.append((id_, other, abs(u - t)))
+                yield id_, other, abs(u - t)
+
+    def claims(pdf: pd.DataFrame) -> pd.DataFrame:
+        stretch = pdf.groupby([*keys, "__part"], dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(stretch, kind="stable")
+        id_, t, side = (pdf[c].to_numpy()[order].tolist() for c in ("id", "t", "side"))
+        cuts = [*np.flatnonzero(np.diff(stretch[order], prepend=-1)).tolist(), len(order)]
+        out = []
+        for low, high in zip(cuts, cuts[1:]):
+            lefts = [(id_[k], t[k]) for k in range(low, high) if side[k] == 0]
+            if 0 < len(lefts) < high - low:
+                out += claim(lefts, [(t[k], id_[k]) for k in range(low, high) if side[k] == 1])
         return pd.DataFrame(out, columns=["left_id", "right_id", "delta"]).astype("int64")
 
     by_time = Window.partitionBy(*keys).orderBy("t", "side", "id")
     gap = F.coalesce((F.col("t") - F.lag("t").over(by_time) > window).cast("int"), F.lit(0))
-    both = a.unionByName(b).withColumn("__gap", gap).withColumn("__part", F.sum("__gap").over(by_time)).drop("__gap")
-    return both.groupBy(*keys, "__part").applyInPandas(claim, "left_id long, right_id long, delta long")
+    both = a.unionByName(b)
+    groups = F.lit(max(1, both.count() // per_group))
+    parts = both.withColumn("__gap", gap).withColumn("__part", F.sum("__gap").over(by_time)).drop("__gap")
+    dealt = parts.withColumn("__group", F.pmod(F.xxhash64(*keys, "__part"), groups))
+    return dealt.groupBy("__group").applyInPandas(claims, "left_id long, right_id long, delta long")
 
 
 def resolved(entries: DataFrame, ids: DataFrame, priority: Sequence[str]) -> DataFrame:

@@ -72,3 +72,21 @@ def test_no_row_for_each_pair_of_frames(spark):
     frames = spark.createDataFrame(rows, "item long, t_ms long, vector array<double>")
     plan = vectors.chamfer(frames, spark.createDataFrame([(0, 1)], "a long, b long"))._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" in plan and "zip_with" not in plan
+
+
+def test_greedy_stretches_share_groups(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, int(rng.integers(0, 30)), int(rng.integers(0, 40_000)), int(k % 2)) for k in range(600)]
+    free = {(u, t, k) for k, u, t, side in rows if side}
+    want = set()
+    for k, u, t, side in rows:
+        near = [(abs(x[1] - t), x[1], x[2], x) for x in free if x[0] == u and abs(x[1] - t) <= 900]
+        if not side and near:
+            delta, _, other, taken = min(near)
+            free.remove(taken)
+            want.add((k, other, delta))
+    left = spark.createDataFrame([(k, u, t) for k, u, t, side in rows if not side], "left_id long, u long, t long")
+    right = spark.createDataFrame([(k, u, t) for k, u, t, side in rows if side], "right_id long, u long, t long")
+    for per_group in (1, 100, 10_000):
+        assert {tuple(r) for r in matching.greedy_matches(left, right, ["u"], per_group=per_group).collect()} == want
+    assert matching.greedy_matches(left.limit(0), right, ["u"]).count() == 0
