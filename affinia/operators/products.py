@@ -32,7 +32,7 @@ def best(products: Callable[[int, int], np.ndarray], ids: np.ndarray, others: np
         first, last = np.searchsorted(others, mine, "left"), np.searchsorted(others, mine, "right")
         for k in np.flatnonzero(last > first):
             c[k, first[k] : last[k]] = -np.inf
-        bar = np.full(len(mine), least - 1e-6)
+        bar = np.full(len(mine), least - 5.01e-7)
         if wide > top:
             head = c[:, : max(HEAD, top)]
             bar = np.maximum(bar, np.partition(head, head.shape[1] - top, axis=1)[:, head.shape[1] - top] - 1e-6)

@@ -142,33 +142,33 @@ def best_cosines(rows: list, others: list) -> np.ndarray:
     return out
 
 
-def nearest_vectors(rows: DataFrame, top: int, least: float, per_block: int = BLOCK) -> DataFrame:
+def nearest_vectors(rows: DataFrame, top: int, least: float, per_block: int | None = None) -> DataFrame:
     """id, other, cosine, place: all pairs in blocks, as products of matrices. rows: id, vector.
 
-    Each pair of blocks of about per_block rows is a group; a group's rows give their top-k, and the best of
-    those remain. The number of blocks grows with the rows, so that a task's matrices don't.
+    Each pair of blocks is a group, whose rows give their top-k both ways; the best of those remain. A row is copied
+    once for each block. Blocks grow with the rows from BLOCK to MOST, so that up to BLOCKS * MOST rows the
+    copies grow as the rows do; beyond that a task's matrices stay as they are, and the copies of a row grow.
     """
-    blocks = max(1, -(-rows.count() // per_block))
+    count = rows.count()
+    per_block = per_block or min(max(BLOCK, -(-count // BLOCKS)), MOST)
+    blocks = max(1, -(-count // per_block))
     cut = rows.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    left = cut.select("id", "vector", F.col("block").alias("i"), grid).withColumnRenamed("o", "j").withColumn("side", F.lit(0))
-    right = cut.select("id", "vector", F.col("block").alias("j"), grid).withColumnRenamed("o", "i").withColumn("side", F.lit(1))
 
     def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})
-        x, y = (np.stack(p.vector.to_numpy()).astype(np.float64) for p in (a, b))
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-        cos = np.round(x @ y.T, 6)
-        ids, others = a.id.to_numpy(), b.id.to_numpy()
-        cos[ids[:, None] == others[None, :]] = -2
-        i, j = np.nonzero(cos >= least)
-        found = pd.DataFrame({"id": ids[i], "other": others[j], "cosine": cos[i, j]}).sort_values(["id", "cosine", "other"], ascending=[True, False, True])
-        return found.groupby("id").head(top)
-
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(products, "id long, other long, cosine double")
+        pdf = pdf.sort_values("id")
+        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        sides = []
+        for side in (i, j):
+            some = pdf[pdf.block == side]
+            x = np.stack(some.vector.to_numpy()).astype(np.float64) if len(some) else np.zeros((0, 1))
+            sides.append((some.id.to_numpy(), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)))
+        found = [pd.DataFrame({"id": [], "other": [], "cosine": []}).astype({"id": "int64", "other": "int64", "cosine": "float64"})]
+        if len(sides[0][0]) and len(sides[1][0]):
+            for (ids, x), (others, y) in (sides, sides[::-1]) if i < j else (sides,):
+                found += [pd.DataFrame({"id": ids[a], "other": others[b], "cosine": v}) for a, b, v in best(lambda low, high, x=x, y=y: x[low:high] @ y.T, ids, others, top, least)]
+        return pd.concat(found[1:] or found)
+
+    found = paired(cut, blocks).groupBy("i", "j").applyInPandas(products, "id long, other long, cosine double")
     return top_per_group(found, ["id"], [F.desc("cosine"), F.asc("other")], top)
 
 

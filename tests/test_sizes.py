@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from affinia.operators import matching, tags, vectors
 from affinia.plans.registry import QUERIES
@@ -90,3 +91,31 @@ def test_greedy_stretches_share_groups(spark):
     for per_group in (1, 100, 10_000):
         assert {tuple(r) for r in matching.greedy_matches(left, right, ["u"], per_group=per_group).collect()} == want
     assert matching.greedy_matches(left.limit(0), right, ["u"]).count() == 0
+
+
+def test_pages_of_a_small_file_are_read_by_all_tasks(spark):
+    one = spark.range(100).coalesce(1).selectExpr("id", "'<p>' AS html", "'1' AS tmdb_id")
+    for read in (pages.read_lists, pages.read_films, pages.read_themes):
+        assert read(one, "id").rdd.getNumPartitions() >= 4
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(120, 4))
+    v[60:90] = v[:30]  # equal cosines rank by id
+    table = spark.createDataFrame([(int(k), [float(x) for x in row]) for k, row in enumerate(v)], "id long, vector array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 6)
+    want = {k: [m for _, m in sorted((-cos[k, m], m) for m in range(120) if m != k and cos[k, m] >= 0.6)][:5] for k in range(120)}
+    for per_block in (200, 17):
+        got = {k: [] for k in range(120)}
+        for r in vectors.nearest_vectors(table, 5, 0.6, per_block).orderBy("id", "place").collect():
+            got[r.id].append(r.other)
+        assert got == want
+
+
+def test_blocks_grow_with_the_rows(spark):
+    """Rows beyond 16 blocks' worth are in larger blocks, so that a row's copies stay as many."""
+    table = spark.range(40_000).select("id", F.array(F.lit(1.0), (F.col("id") % 7).cast("double")).alias("vector"))
+    plan = vectors.nearest_vectors(table, 1, 0.99)._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 42), 16)" in plan
