@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinia.operators.ranking import top_per_group
+from affinia.operators.products import best, paired
+from affinia.operators.ranking import placed_in_group, top_per_group
+from affinia.operators.shared import stored
 
 Z = 2.0
-#: Titles of a block in the sums over all pairs, and pairs or sums that a task holds at once.
-BLOCK, CELLS = 4096, 1 << 22
+#: Sets of a block in the sums over all pairs, at least; blocks that these grow for, and tags of a block, at most, unless BLOCK sets have more.
+BLOCK, BLOCKS, ENTRIES = 4096, 16, 1 << 23
+#: Pairs or sums that a task holds at once, numbers of a dense matrix, and cells for each pair below which a tag is summed as one.
+CELLS, SLAB, SPARSE = 1 << 22, 1 << 24, 100
 
 
 def frequencies(tagged: DataFrame) -> DataFrame:
@@ -69,70 +74,123 @@ def network(tagged: DataFrame, least_df: int = 3, top: int = 6) -> DataFrame:
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared").distinct()
 
 
-def nearest_titles(tagged: DataFrame, top: int = 12, max_df: int | None = None, per_block: int = BLOCK) -> DataFrame:
+def nearest_titles(tagged: DataFrame, top: int = 12, max_df: int | None = None, per_block: int | None = None) -> DataFrame:
     """title, other, cosine, place by TF-IDF of tags. max_df leaves out tags on more titles, if it is given.
 
-    Titles are dealt to blocks of about per_block, and each pair of blocks is a group: the pairs that a tag makes
-    are summed within it and only a title's best leave it, so that a hot tag's pairs never cross a shuffle. There
-    are as many pairs of blocks as cores at least; a tag's row goes to as many groups as there are blocks. Tags
-    meet as 64-bit hashes.
+    Titles with equal tags are one: a set keeps its first titles, as many as an answer can name, and each of its
+    titles gets the set's answer. Sets are dealt to blocks of about per_block, and each pair of blocks is a group,
+    from which only a set's best leave, so that a hot tag's pairs never cross a shuffle. A set is one row with the
+    numbers of its tags, copied once for each block; blocks grow with the sets, so that there are BLOCKS or a few more
+    until a block has ENTRIES tags. There are as many pairs of blocks as cores at least.
     """
-    df = frequencies(tagged)
+    table = stored(tagged, "tagged")
+    df = table.where(F.col("tag").isNotNull()).groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
     if max_df is not None:
         df = df.where(F.col("df") <= max_df)
-    weighted = tagged.join(df.select("tag", "idf"), "tag")
-    norms = weighted.groupBy("title").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    units = weighted.join(norms, "title").select("title", F.xxhash64("tag").alias("tag"), (F.col("idf") / F.col("norm")).alias("w"))
-    titles = tagged.select("title").distinct().count()
-    blocks = max(1, -(-titles // per_block), math.isqrt(2 * tagged.sparkSession.sparkContext.defaultParallelism))
-    cut = units.withColumn("block", F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int"))
-    grid = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = grid.select("title", "tag", "w", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+    numbers = placed_in_group(df, [], [F.col("tag")], "number").select("tag", F.struct(F.col("number").cast("int").alias("n"), F.col("df").cast("int").alias("df")).alias("t"))
+    grouped = table.where(F.col("title").isNotNull()).join(numbers, "tag").groupBy("title").agg(F.array_sort(F.collect_list("t")).alias("tags"))  # a title's tags
+    sets = stored(grouped.select("title", F.sha2(F.array_join(F.col("tags.n").cast("array<string>"), ","), 256).alias("same"), F.col("tags.n").alias("tags"), F.col("tags.df").alias("dfs")), "sets")
+    firsts = top_per_group(sets.select("title", "same"), ["same"], [F.asc("title")], top + 1).groupBy("same").agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    distinct = stored(firsts.withColumn("title", F.get("titles", F.lit(0))).join(sets.drop("same"), "title"), "distinct")
+    titles = table.agg(F.count_distinct("title")).first()[0]
+    count, entries = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tags")), F.lit(0))).first()
+    most = max(BLOCK, ENTRIES * count // max(entries, 1))
+    per_block = per_block or min(max(BLOCK, -(-count // BLOCKS)), most)
+    blocks = max(1, -(-count // per_block), math.isqrt(2 * tagged.sparkSession.sparkContext.defaultParallelism))
+    sent = paired(distinct.select("title", "tags", "dfs", F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int").alias("block")), blocks)
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("title", kind="stable", ignore_index=True)
         i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        names, at = np.unique(pdf.title.to_numpy(), return_inverse=True)
-        block, tag, w = pdf.block.to_numpy(), pdf.tag.to_numpy(), pdf.w.to_numpy()
-        order = np.argsort(at, kind="stable")
-        left, right = order[block[order] == i], np.argsort(tag, kind="stable")
-        right = right[block[right] == j]
-        first = np.searchsorted(tag[right], tag[left], "left")
-        met = np.searchsorted(tag[right], tag[left], "right") - first
-        wide, ends = len(names), np.cumsum(met)
-        starts = np.flatnonzero(np.diff(at[left], prepend=-1))  # a title's first row
-        found, done = [], 0
-        while done < len(starts):
-            # Whole titles, as many as keep the pairs and the sums within CELLS.
-            low = starts[done]
-            before = ends[low - 1] if low else 0
-            title_ends = ends[np.append(starts[done + 1 :], len(left)) - 1]
-            some = max(1, min(int(np.searchsorted(title_ends, before + CELLS, "right")), CELLS // wide))
-            high = starts[done + some] if done + some < len(starts) else len(left)
-            done += some
-            n = met[low:high]
-            rows = np.repeat(np.arange(low, high), n)
-            other = right[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[rows]]
-            here = np.unique(at[left[low:high]], return_inverse=True)
-            cell = here[1][rows - low] * wide + at[other]
-            dots = np.round(np.bincount(cell, w[left[rows]] * w[other], len(here[0]) * wide), 6)
-            cells = np.flatnonzero(dots > 0)
-            x, y, cosine = here[0][cells // wide], cells % wide, dots[cells]
-            apart = x != y
-            x, y, cosine = x[apart], y[apart], cosine[apart]
-            for one, two in ((x, y), (y, x)) if i < j else ((x, y),):
-                by = np.lexsort((two, -cosine, one))
-                heads = np.flatnonzero(np.diff(one[by], prepend=-1))
-                place = np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by))))
-                by = by[place < top]
-                found.append((one[by], two[by], cosine[by]))
-        if not found:
-            return pd.DataFrame({"title": names[:0], "other": names[:0], "cosine": np.zeros(0)})
-        one, two, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
+        names, block = pdf.title.to_numpy(), pdf.block.to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        held: list = []
+        if len(left) and len(right):
+            sizes = pdf.tags.map(len).to_numpy()
+            row, tag = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf.tags.to_numpy())
+            idf = 1 + np.log(titles / np.concatenate(pdf.dfs.to_numpy()))
+            w = idf / np.sqrt(np.bincount(row, idf * idf))[row]
+            for low, c in _sums(row, tag, w, left, right):
+                some = left[low : low + len(c)]
+                for one, two, m in ((some, right, c), (right, some, c.T)) if i < j else ((some, right, c),):
+                    held += [(one[a], two[b], v) for a, b, v in best(lambda lo, hi, m=m: m[lo:hi], one, two, top, 1e-6)]
+                if sum(len(x[0]) for x in held) > CELLS:
+                    held = [_first(held, top)]
+        one, two, cosine = _first(held, top) if held else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         return pd.DataFrame({"title": names[one], "other": names[two], "cosine": cosine})
 
     kind = tagged.schema["title"].dataType.simpleString()
-    scored = sent.groupBy("i", "j").applyInPandas(best, f"title {kind}, other {kind}, cosine double")
-    return top_per_group(scored, ["title"], [F.desc("cosine"), F.asc("other")], top)
+    scored = sent.groupBy("i", "j").applyInPandas(near, f"title {kind}, other {kind}, cosine double")
+    own = distinct.select("title", F.col("title").alias("other"), F.lit(1.0).alias("cosine"))
+    others = top_per_group(scored.unionByName(own), ["title"], [F.desc("cosine"), F.asc("other")], top + 1).drop("place")
+    each = others.join(distinct.select(F.col("title").alias("other"), "titles"), "other").select("title", F.explode("titles").alias("other"), "cosine")
+    lists = top_per_group(each, ["title"], [F.desc("cosine"), F.asc("other")], top + 1).groupBy("title").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("minus"), "other"))).alias("best"))  # top + 1 at most
+    answers = lists.join(distinct.select("title", "titles"), "title").join(firsts.select("same", F.get("titles", F.lit(0)).alias("title")), "title").select("same", "best")
+    rest = F.slice(F.filter("best", lambda x: x["other"] != F.col("title")), 1, top)
+    found = sets.select("title", "same").join(answers, "same").select("title", F.posexplode(rest).alias("i", "x"))
+    return found.select("title", "x.other", (-F.col("x.minus")).alias("cosine"), (F.col("i") + 1).cast("long").alias("place"))
+
+
+def _first(held: list, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first top of each row, by cosine and number. held: rows, others, cosines."""
+    one, two, cosine = (np.concatenate(c) for c in zip(*held, strict=True))
+    by = np.lexsort((two, -cosine, one))
+    heads = np.flatnonzero(np.diff(one[by], prepend=-1))
+    by = by[np.arange(len(by)) - np.repeat(heads, np.diff(np.append(heads, len(by)))) < top]
+    return one[by], two[by], cosine[by]
+
+
+def _sums(row: np.ndarray, tag: np.ndarray, w: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Strips of the sums of products over shared tags, for rows left against rows right, with the number of their first row.
+
+    Tags on many of both sides are columns of dense matrices, SLAB numbers at a time; the pairs of the others are added one by
+    one, CELLS at a time. row ascends; left and right ascend.
+    """
+    at = np.unique(tag, return_inverse=True)[1]
+    sides = []
+    for some in (left, right):
+        place = np.searchsorted(some, row)
+        inside = np.flatnonzero(some[np.minimum(place, len(some) - 1)] == row)
+        sides.append((place[inside], at[inside], w[inside]))
+    counts = [np.bincount(side[1], minlength=at.max() + 1).astype(np.float64) for side in sides]
+    hot = counts[0] * counts[1] * SPARSE >= len(left) * len(right)
+    column, hots = np.cumsum(hot) - 1, int(hot.sum())
+    (x_row, x_at, x_w), (y_row, y_at, y_w) = [[c[hot[side[1]]] for c in side] for side in sides]
+    (l_row, l_at, l_w), (r_row, r_at, r_w) = [[c[~hot[side[1]]] for c in side] for side in sides]
+    order = np.argsort(r_at, kind="stable")
+    r_row, r_at, r_w = r_row[order], r_at[order], r_w[order]
+    x_at, y_at = column[x_at], column[y_at]
+    width = max(1, SLAB // len(right))
+
+    def dense(rows: np.ndarray, ats: np.ndarray, values: np.ndarray, n: int, slab: int) -> np.ndarray:
+        out = np.zeros((n, min(width, hots - slab)))
+        inside = (ats >= slab) & (ats < slab + width)
+        out[rows[inside], ats[inside] - slab] = values[inside]
+        return out
+
+    whole = dense(y_row, y_at, y_w, len(right), 0) if hots <= width else None
+    step = max(1, CELLS // len(right))
+    for low in range(0, len(left), step):
+        high = min(low + step, len(left))
+        c = np.zeros((high - low, len(right)))
+        a, b = np.searchsorted(x_row, (low, high))
+        for slab in range(0, hots, width):
+            y = whole if whole is not None else dense(y_row, y_at, y_w, len(right), slab)
+            c += dense(x_row[a:b] - low, x_at[a:b], x_w[a:b], high - low, slab) @ y.T
+        a, b = np.searchsorted(l_row, (low, high))
+        first = np.searchsorted(r_at, l_at[a:b], "left")
+        met = np.searchsorted(r_at, l_at[a:b], "right") - first
+        ends = np.cumsum(met)
+        done = 0
+        while done < b - a and ends[-1]:
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CELLS, "right")))
+            n = met[done:upto]
+            mine = np.repeat(np.arange(done, upto), n)
+            other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[mine]
+            cell = (l_row[a + mine] - low) * len(right) + r_row[other]
+            c += np.bincount(cell, l_w[a + mine] * r_w[other], c.size).reshape(c.shape)
+            done = upto
+        yield low, c
 
 
 def overrepresented(list_tags: DataFrame, tagged: DataFrame, least_in_list: int = 3, least_lift: float = 3.0, top: int = 20) -> DataFrame:

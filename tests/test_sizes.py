@@ -119,3 +119,25 @@ def test_blocks_grow_with_the_rows(spark):
     table = spark.range(40_000).select("id", F.array(F.lit(1.0), (F.col("id") % 7).cast("double")).alias("vector"))
     plan = vectors.nearest_vectors(table, 1, 0.99)._jdf.queryExecution().optimizedPlan().toString()
     assert ", 42), 16)" in plan
+
+
+def test_nearest_titles_send_a_row_for_each_set(spark, monkeypatch):
+    """Titles of equal tags are one row of the blocks, whatever their tags; dense and single sums together, against all pairs."""
+    monkeypatch.setattr(tags, "CELLS", 700)
+    monkeypatch.setattr(tags, "SLAB", 60)
+    monkeypatch.setattr(tags, "SPARSE", 12)
+    sent, real = [], tags.paired
+    monkeypatch.setattr(tags, "paired", lambda rows, blocks: sent.append((rows.count(), blocks)) or real(rows, blocks))
+    rng = np.random.default_rng(11)
+    sets = [sorted({"all", *(f"hot{k}" for k in rng.integers(0, 6, 3)), *(f"rare{k}" for k in rng.integers(0, 40, 2))}) for _ in range(60)]
+    have = {k: sets[k % 60 if k < 90 else 0] for k in range(120)}  # some twice, one of 32 titles
+    names = sorted({t for some in sets for t in some})
+    x = np.array([[t in some for t in names] for some in have.values()], float)
+    x *= 1 + np.log(len(have) / x.sum(axis=0))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.round(x @ x.T, 6)
+    want = {(a, b, -c, k + 1) for a in have for k, (c, b) in enumerate(sorted((-cos[a, b], b) for b in have if b != a and cos[a, b] > 0)[:4])}
+    tagged = spark.createDataFrame([(a, t) for a, some in have.items() for t in some], "title long, tag string")
+    for per_block in (None, 17):
+        assert {tuple(r) for r in tags.nearest_titles(tagged, top=4, per_block=per_block).collect()} == want
+    assert {n for n, _ in sent} == {len({tuple(some) for some in sets})}
