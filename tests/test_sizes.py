@@ -141,3 +141,17 @@ def test_nearest_titles_send_a_row_for_each_set(spark, monkeypatch):
     for per_block in (None, 17):
         assert {tuple(r) for r in tags.nearest_titles(tagged, top=4, per_block=per_block).collect()} == want
     assert {n for n, _ in sent} == {len({tuple(some) for some in sets})}
+
+
+def test_harvests_join_by_shuffles(spark):
+    """Sides that grow with the input are small on disk, but must not pass the driver."""
+    lists = spark.createDataFrame([("a", "/a")], "list string, path string")
+    page = spark.createDataFrame([("/a", "<body class=list-page><h1 class=title-1>x</h1><li data-item-slug=f data-item-name=F>")], "path string, html string")
+    films = spark.createDataFrame([("f", '<body data-type="film" data-tmdb-id="7">')], "slug string, html string")
+    known = spark.createDataFrame([("movie", "7", "i7")], "kind string, tmdb_id string, item_id string")
+    entries, outcomes = pages.harvested(lists, page, films, known)
+    for found in (pages.followed(lists, page), entries):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [tuple(r) for r in entries.collect()] == [("a", 1, "tmdb", "7", "i7")]
+    assert [tuple(r) for r in outcomes.collect()] == [("a", "x", 1, "harvested")]
