@@ -5,7 +5,9 @@ cells are cut into rings by the angle to it. A vector first meets its own block,
 neighbours must at least be. It then visits only the blocks that can hold one so near, by two bounds that lose nothing:
 vectors of another cell lie beyond the plane between both centroids, and angles to a centroid differ at most by
 the angle between two vectors. Where vectors lie in clusters a row is copied to a few blocks, however many
-rows there are; where they are random, no bound holds off much, and rows visit most blocks.
+rows there are; where they are random, no bound holds off much, and rows would visit most blocks. If they would visit
+more than COPIES on average, blocks are joined to areas of a COPIES-th of the rows, which rows visit instead: a row
+is then copied COPIES times or a few more, however many blocks there are, until an area has AREA numbers.
 
 Equal vectors are one: a group of copies keeps its first ids, as many as an answer can name, and each copy
 gets the group's answer. A vector that many blocks' rows visit meets them in lots, so that no task holds more than
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinia.operators.ranking import top_per_group
@@ -32,6 +34,8 @@ from affinia.operators.shared import stored
 BLOCK, LOT, SLICE = 4096, 8192, 512
 #: Vectors that the centroids are fitted on, at most, and centroids, at most: both go through the driver.
 SAMPLE, MOST_CELLS = 16_384, 1024
+#: Visits of a row, beyond which blocks are joined; numbers of an area's vectors, at most; and cosines that a task holds at once.
+COPIES, AREA, COSINES = 16, 1 << 23, 1 << 22
 STEPS = 6
 #: Bounds are widened by this much, for the rounding of cosines and angles.
 SLACK = 2e-6
@@ -85,26 +89,30 @@ def _blocks(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(cut, "blocks"), rings
 
 
-def _best(visitors: pd.DataFrame, block: pd.DataFrame, top: int) -> pd.DataFrame:
-    """row, other, cosine, bar: the first top + 1 ids of a block for each visitor, and how near such must be at least."""
+def _best(visitors: pd.DataFrame, block: pd.DataFrame, top: int, settled: bool = True) -> pd.DataFrame:
+    """row, other, cosine, bar: the first top + 1 ids of a block for each visitor, and how near such must be at least.
+
+    Bars that aren't settled are raised to what the block itself holds.
+    """
     found = [pd.DataFrame({"row": [], "other": [], "cosine": [], "bar": []}).astype({"row": "int64", "other": "int64", "cosine": "float64", "bar": "float64"})]
     if len(block):
-        hosts = _units(block.vector)
-        found += [_best_of(visitors.iloc[at : at + SLICE], block, hosts, top) for at in range(0, len(visitors), SLICE)]
+        count = block.ids.map(len).to_numpy()
+        hosts = _units(block.vector), np.concatenate(block.ids.to_numpy()), np.cumsum(count) - count, count
+        step = max(1, min(SLICE, COSINES // len(block)))
+        found += [_best_of(visitors.iloc[at : at + step], hosts, top, settled) for at in range(0, len(visitors), step)]
     return pd.concat(found[1:] or found)
 
 
-def _best_of(visitors: pd.DataFrame, block: pd.DataFrame, hosts: np.ndarray, top: int) -> pd.DataFrame:
-    cos = np.round(_units(visitors.vector) @ hosts.T, 6)
+def _best_of(visitors: pd.DataFrame, hosts: tuple, top: int, settled: bool) -> pd.DataFrame:
+    units, ids, first, count = hosts
+    cos = _units(visitors.vector) @ units.T
     bar = visitors.bar.to_numpy(np.float64).copy()
-    if len(block) > top:
-        bar = np.maximum(bar, np.partition(cos, len(block) - top - 1, axis=1)[:, len(block) - top - 1])
+    if not settled and len(units) > top:
+        bar = np.maximum(bar, np.round(np.partition(cos, len(units) - top - 1, axis=1)[:, len(units) - top - 1], 6))
     i, j = np.nonzero(cos >= bar[:, None] - SLACK)
-    count = block.ids.map(len).to_numpy()
-    ids, first = np.concatenate(block.ids.to_numpy()), np.cumsum(count) - count
     each = np.repeat(np.arange(len(i)), count[j])
     within = np.arange(len(each)) - np.repeat(np.cumsum(count[j]) - count[j], count[j])
-    other, i, c = ids[first[j[each]] + within], i[each], cos[i[each], j[each]]
+    other, i, c = ids[first[j[each]] + within], i[each], np.round(cos[i[each], j[each]], 6)
     order = np.lexsort((other, -c, i))
     i, other, c = i[order], other[order], c[order]
     place = np.arange(len(i)) - np.searchsorted(i, i)
@@ -128,11 +136,11 @@ def visits(placed: DataFrame, rings: DataFrame, bars: DataFrame, centroids: np.n
                 beyond[gap < 1e-6] = 0
                 i, j = np.nonzero(np.arcsin(np.clip(beyond, -1, 1)) <= wide[:, None] + SLACK)
                 angle = np.arccos(np.clip(near[i, j], -1, 1))
-                yield pd.DataFrame({"row": pdf.row.to_numpy()[i], "cell": j.astype(np.int32), "least": angle - wide[i] - SLACK, "most": angle + wide[i] + SLACK})
+                yield pd.DataFrame({"row": pdf.row.to_numpy()[i], "cell": j.astype(np.int32), "own_cell": own[i], "own_ring": pdf.ring.to_numpy()[i], "own_sub": pdf["sub"].to_numpy()[i], "least": angle - wide[i] - SLACK, "most": angle + wide[i] + SLACK})
 
-    asked = placed.select("row", "vector", "cell").join(bars, "row").mapInPandas(reach, "row long, cell int, least double, most double")
-    met = asked.join(rings, "cell").where("lo <= most AND hi >= least").select("row", "cell", "ring", F.explode(F.sequence(F.lit(0), F.col("subs").cast("int") - 1)).alias("sub"))
-    return met.join(placed.select("row", "cell", "ring", "sub"), ["row", "cell", "ring", "sub"], "left_anti")
+    asked = placed.select("row", "vector", "cell", "ring", "sub").join(bars, "row").mapInPandas(reach, "row long, cell int, own_cell int, own_ring int, own_sub int, least double, most double")
+    met = asked.join(rings, "cell").where("lo <= most AND hi >= least").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs").cast("int") - 1)))
+    return met.where("cell <> own_cell OR ring <> own_ring OR sub <> own_sub").select("row", "cell", "ring", "sub")
 
 
 def close_vectors(rows: DataFrame, top: int, least: float) -> DataFrame:
@@ -149,21 +157,33 @@ def close_vectors(rows: DataFrame, top: int, least: float) -> DataFrame:
     placed, rings = _blocks(_placed(distinct, centroids))
     made = "row long, other long, cosine double, bar double"
 
-    own = stored(placed.groupBy("cell", "ring", "sub").applyInPandas(lambda pdf: _best(pdf.assign(bar=least), pdf, top), made), "own")
-    bars = own.groupBy("row").agg(F.max("bar").alias("bar"))
-    asked = stored(visits(placed, rings, bars, centroids), "visits")
-    lots = stored(asked.groupBy("cell", "ring", "sub").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots")), "lots")
     keys = ["cell", "ring", "sub"]
-    guests = asked.join(lots, keys).withColumn("lot", F.pmod(F.xxhash64("row"), F.col("lots")).cast("int"))
-    guests = guests.select("row", *keys, "lot").join(placed.select("row", "vector").join(bars, "row"), "row").select(*keys, "lot", "row", "vector", F.lit(None).cast("array<long>").alias("ids"), "bar")
-    hosts = placed.join(lots, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "row", "vector", "ids", F.lit(None).cast("double").alias("bar"))
+    own = stored(placed.groupBy(*keys).applyInPandas(lambda pdf: _best(pdf.assign(bar=least), pdf, top, settled=False), made), "own")
+    bars = own.groupBy("row").agg(F.max("bar").alias("bar"))
+    asked = visits(placed, rings, bars, centroids)
+    count, crowded = placed.count(), asked.count()
+    crowded = crowded > COPIES * count
+    size = max(BLOCK, min(-(-count // COPIES), AREA // len(sample.vector.iloc[0]))) if crowded else 1
+    # A row for each block: an area is a stretch of blocks, or a single one.
+    blocks = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    areas = stored(blocks.select(*keys, F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size).alias("area")), "areas")
+    asked = asked.join(areas, keys).select("row", "area")
+    if crowded:
+        asked = asked.unionByName(placed.join(areas, keys).select("row", "area")).distinct()
+    asked = stored(asked, "visits")
+    lots = stored(asked.groupBy("area").agg(F.ceil(F.count(F.lit(1)) / max(LOT, size)).cast("int").alias("lots")), "lots")
+    guests = asked.join(lots, "area").withColumn("lot", F.pmod(F.xxhash64("row"), F.col("lots")).cast("int"))
+    guests = guests.join(placed.select("row", "vector").join(bars, "row"), "row").select("area", "lot", "row", "vector", F.lit(None).cast("array<long>").alias("ids"), "bar")
+    hosts = placed.join(areas, keys).join(lots, "area").select("area", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), "row", "vector", "ids", F.lit(None).cast("double").alias("bar"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         guest = pdf.ids.isna()
         return _best(pdf[guest], pdf[~guest], top)
 
-    met = guests.unionByName(hosts).groupBy(*keys, "lot").applyInPandas(meet, made)
-    best = top_per_group(own.unionByName(met).where(F.col("cosine") >= least).drop("bar"), ["row"], [F.desc("cosine"), F.asc("other")], top + 1)
+    met = guests.unionByName(hosts).groupBy("area", "lot").applyInPandas(meet, made)
+    met = met if crowded else own.unionByName(met)  # areas hold a row's own block
+    best = top_per_group(met.where(F.col("cosine") >= least).drop("bar"), ["row"], [F.desc("cosine"), F.asc("other")], top + 1)
     lists = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("minus"), "other"))).alias("best"))  # top + 1 at most
     answers = lists.join(placed.select("row", "same"), "row").select("same", "best")
     others = F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, top)

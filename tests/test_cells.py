@@ -75,3 +75,25 @@ def test_visits_of_clustered_rows_do_not_grow(spark, monkeypatch):
         cells.close_vectors(frame(spark, np.arange(len(v)), v), 5, 0.9).count()
     (few, blocks), (more, twice) = counted
     assert twice > 1.5 * blocks and more < 1.3 * few + 0.5 and more < twice / 4
+
+
+@pytest.mark.parametrize("copies", [2, 100])
+def test_rows_of_random_vectors_are_copied_a_bounded_number_of_times(spark, monkeypatch, copies):
+    """Where no bound holds off much, blocks are joined to areas; the answer stays that of all pairs."""
+    for name, value in (("BLOCK", 32), ("LOT", 50), ("COPIES", copies)):
+        monkeypatch.setattr(cells, name, value, raising=False)
+    counted, real = {}, cells.stored
+
+    def storing(df, name="table"):
+        out = real(df, name)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(cells, "stored", storing)
+    v = np.random.default_rng(4).normal(size=(400, 24)).astype(np.float32)
+    v[300:340] = v[7]
+    ids = np.arange(400)
+    found = {tuple(r) for r in cells.close_vectors(frame(spark, ids, v), 5, 0.1).collect()}
+    assert found == plain(ids, v, 5, 0.1)
+    if copies == 2:
+        assert counted["visits"] <= (copies + 1) * counted["distinct"]
