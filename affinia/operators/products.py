@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Products that a task holds at once, and columns that a row's least product is taken from.
-CELLS, HEAD = 1 << 22, 4096
+CELLS, HEAD = 1 << 22, 1024
 
 
 def paired(rows: DataFrame, blocks: int) -> DataFrame:
@@ -18,11 +18,12 @@ def paired(rows: DataFrame, blocks: int) -> DataFrame:
     return grid.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o")
 
 
-def best(products: Callable[[int, int], np.ndarray], ids: np.ndarray, others: np.ndarray, top: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def best(products: Callable[[int, int], np.ndarray], ids: np.ndarray, others: np.ndarray, top: int, least: float, bars: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places in ids, places in others, products: the top others of each id, rounded to six digits, of least or more.
 
     products(low, high) has a row for each of ids[low:high] and a column for each of others, which ascend, so that
-    the first of equal ones stay. A row never meets its own id.
+    the first of equal ones stay. A row never meets its own id. bars, if given, are a known least cosine for each
+    row's answer, which then isn't looked for here.
     """
     wide = len(others)
     step = max(1, CELLS // max(wide, 1))
@@ -33,7 +34,9 @@ def best(products: Callable[[int, int], np.ndarray], ids: np.ndarray, others: np
         for k in np.flatnonzero(last > first):
             c[k, first[k] : last[k]] = -np.inf
         bar = np.full(len(mine), least - 5.01e-7)
-        if wide > top:
+        if bars is not None:
+            bar = np.maximum(bar, bars[low : low + step] - 1e-6)
+        elif wide > top:
             head = c[:, : max(HEAD, top)]
             bar = np.maximum(bar, np.partition(head, head.shape[1] - top, axis=1)[:, head.shape[1] - top] - 1e-6)
         i, j = np.nonzero(c >= bar[:, None])

@@ -110,10 +110,14 @@ def nearest_titles(tagged: DataFrame, top: int = 12, max_df: int | None = None,
             row, tag = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf.tags.to_numpy())
             idf = 1 + np.log(titles / np.concatenate(pdf.dfs.to_numpy()))
             w = idf / np.sqrt(np.bincount(row, idf * idf))[row]
+            bars = None
             for low, c in _sums(row, tag, w, left, right):
                 some = left[low : low + len(c)]
-                for one, two, m in ((some, right, c), (right, some, c.T)) if i < j else ((some, right, c),):
-                    held += [(one[a], two[b], v) for a, b, v in best(lambda lo, hi, m=m: m[lo:hi], one, two, top, 1e-6)]
+                held += [(some[a], right[b], v) for a, b, v in best(lambda lo, hi, c=c: c[lo:hi], some, right, top, 1e-6)]
+                if i < j:
+                    back = [(right[a], some[b], v) for a, b, v in best(lambda lo, hi, c=c: c.T[lo:hi], right, some, top, 1e-6, bars)]
+                    held += back
+                    bars = _last(back, right, top) if bars is None else bars
                 if sum(len(x[0]) for x in held) > CELLS:
                     held = [_first(held, top)]
         one, two, cosine = _first(held, top) if held else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -140,6 +144,15 @@ def _first(held: list, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one[by], two[by], cosine[by]
 
 
+def _last(held: list, rows: np.ndarray, top: int) -> np.ndarray:
+    """The top-th cosine of each of rows, which ascend; 0 for one that has fewer."""
+    one, _, cosine = _first(held, top)
+    at = np.searchsorted(rows, one)
+    out = np.full(len(rows), np.inf)
+    np.minimum.at(out, at, cosine)
+    return np.where(np.bincount(at, minlength=len(rows)) == top, out, 0.0)
+
+
 def _sums(row: np.ndarray, tag: np.ndarray, w: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Strips of the sums of products over shared tags, for rows left against rows right, with the number of their first row.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinia.operators import exact, layout, ranking, regions, tags, vectors
-from affinia.operators.shared import shared_path
+from affinia.operators.shared import shared_path, stored
 from affinia.plans.catalogue import _AXES, _frames, query
 from affinia.sources.store import Store
 
@@ -93,14 +93,15 @@ def _(t):
     return layout.sign_table(_vocabulary(t))
 
 
-def _near(t):
-    """item, other, weight: the nearest titles by their tags."""
-    return tags.nearest_titles(_tags(t).withColumnRenamed("item", "title")).select(F.col("title").alias("item"), "other", F.col("cosine").alias("weight"))
+def _near(tagged):
+    """item, other, weight: the nearest titles by their tags. tagged: item, tag."""
+    return tags.nearest_titles(tagged.withColumnRenamed("item", "title")).select(F.col("title").alias("item"), "other", F.col("cosine").alias("weight"))
 
 
 @query("title_map")
 def _(t):
-    return layout.title_map(_tags(t), _near(t), EXCLUDED)
+    tagged = stored(_tags(t), "tags")
+    return layout.title_map(tagged, _near(tagged), EXCLUDED)
 
 
 @query("pairwise_norms", "SELECT vec_id AS id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm FROM embeddings")

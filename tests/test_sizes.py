@@ -155,3 +155,14 @@ def test_harvests_join_by_shuffles(spark):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert [tuple(r) for r in entries.collect()] == [("a", 1, "tmdb", "7", "i7")]
     assert [tuple(r) for r in outcomes.collect()] == [("a", "x", 1, "harvested")]
+
+
+def test_known_bars_are_not_looked_for_again(monkeypatch):
+    from affinia.operators import products
+
+    c = np.round(np.random.default_rng(2).normal(size=(40, 90)), 1)
+    ids, others = np.arange(100, 140), np.arange(90)
+    run = lambda **more: [x.tolist() for x in next(products.best(lambda low, high: c[low:high].copy(), ids, others, 5, 0.1, **more))]
+    want = run()
+    monkeypatch.setattr(products.np, "partition", None)
+    assert run(bars=np.sort(c, axis=1)[:, -9]) == want
