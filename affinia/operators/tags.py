@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinia.operators import products
+from affinia.operators.packed import counted, gathered, unpack
 from affinia.operators.products import best, paired
 from affinia.operators.ranking import placed_in_group, top_per_group
 from affinia.operators.shared import stored
 
 Z = 2.0
-#: Sets of a block in the sums over all pairs, at least; blocks that these grow for, and tags of a block, at most, unless BLOCK sets have more.
-BLOCK, BLOCKS, ENTRIES = 4096, 16, 1 << 23
+#: Sets of a block in the sums over all pairs, at least; blocks that these grow for, and bytes of a block's packed sets, at most, unless BLOCK sets have more.
+BLOCK, BLOCKS, ENTRIES = 4096, 16, 1 << 26
 #: Pairs or sums that a task holds at once, numbers of a dense matrix, and cells for each pair below which a tag is summed as one.
 CELLS, SLAB, SPARSE = 1 << 22, 1 << 24, 100
+#: Tags that travel with a block in one row.
+TOGETHER = 4096
 
 
 def frequencies(tagged: DataFrame) -> DataFrame:
@@ -75,61 +78,79 @@ def network(tagged: DataFrame, least_df: int = 3, top: int = 6) -> DataFrame:
 
 
 def nearest_titles(tagged: DataFrame, top: int = 12, max_df: int | None = None, per_block: int | None = None) -> DataFrame:
-    """title, other, cosine, place by TF-IDF of tags. max_df leaves out tags on more titles, if it is given.
+    """title, other, cosine, place by TF-IDF of tags. max_df leaves out tags on more titles, if it is given. Pairs of tagged may repeat.
 
     Titles with equal tags are one: a set keeps its first titles, as many as an answer can name, and each of its
     titles gets the set's answer. Sets are dealt to blocks of about per_block, and each pair of blocks is a group,
     from which only a set's best leave, so that a hot tag's pairs never cross a shuffle. A set is one row with the
-    numbers of its tags, copied once for each block; blocks grow with the sets, so that there are BLOCKS or a few more
-    until a block has ENTRIES tags. There are as many pairs of blocks as cores at least.
+    numbers of its tags, packed (frequent tags have low numbers), copied once for each block; how common a tag is
+    travels once for each block that has it. Blocks grow with the sets, so that there are BLOCKS or a few more until
+    a block has ENTRIES bytes. There are as many pairs of blocks as cores at least.
     """
     table = stored(tagged, "tagged")
-    df = table.where(F.col("tag").isNotNull()).groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
+    titles = table.agg(F.count_distinct("title")).first()[0]
     if max_df is not None:
-        df = df.where(F.col("df") <= max_df)
-    numbers = placed_in_group(df, [], [F.col("tag")], "number").select("tag", F.struct(F.col("number").cast("int").alias("n"), F.col("df").cast("int").alias("df")).alias("t"))
-    grouped = table.where(F.col("title").isNotNull()).join(numbers, "tag").groupBy("title").agg(F.array_sort(F.collect_list("t")).alias("tags"))  # a title's tags
-    sets = stored(grouped.select("title", F.sha2(F.array_join(F.col("tags.n").cast("array<string>"), ","), 256).alias("same"), F.col("tags.n").alias("tags"), F.col("tags.df").alias("dfs")), "sets")
+        common = table.distinct().groupBy("tag").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > max_df)
+        table = table.join(common, "tag", "left_anti")
+    often = table.where(F.col("tag").isNotNull()).groupBy("tag").agg(F.count(F.lit(1)).alias("often"))
+    numbers = stored(placed_in_group(often, [], [F.desc("often"), F.asc("tag")], "number").select("tag", F.col("number").cast("int").alias("number")), "numbers")
+    every = stored(gathered(table.join(numbers, "tag"), "title", "number", "tags"), "every")
+    df = stored(counted(every.select(F.lit(0).alias("all"), "tags"), "all", "tags").select("number", F.col("count").alias("df")), "df")
+    sets = every.where(F.col("title").isNotNull()).withColumn("same", F.sha2("tags", 256))
     firsts = top_per_group(sets.select("title", "same"), ["same"], [F.asc("title")], top + 1).groupBy("same").agg(F.array_sort(F.collect_list("title")).alias("titles"))
-    distinct = stored(firsts.withColumn("title", F.get("titles", F.lit(0))).join(sets.drop("same"), "title"), "distinct")
-    titles = table.agg(F.count_distinct("title")).first()[0]
-    count, entries = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tags")), F.lit(0))).first()
-    most = max(BLOCK, ENTRIES * count // max(entries, 1))
+    distinct = stored(firsts.withColumn("title", F.get("titles", F.lit(0))).join(sets.select("title", "tags"), "title"), "distinct")
+    count, size = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("tags") + 64), F.lit(0))).first()
+    most = max(BLOCK, ENTRIES * count // max(size, 1))
     per_block = per_block or min(max(BLOCK, -(-count // BLOCKS)), most)
     blocks = max(1, -(-count // per_block), math.isqrt(2 * tagged.sparkSession.sparkContext.defaultParallelism))
-    sent = paired(distinct.select("title", "tags", "dfs", F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int").alias("block")), blocks)
+    dealt = distinct.select("title", "tags", F.pmod(F.xxhash64("title"), F.lit(blocks)).cast("int").alias("block"))
+    inside = counted(dealt, "block", "tags").select("block", "number").join(df, "number")
+    known = inside.groupBy(F.col("block").cast("int").alias("block"), F.floor(F.col("number") / TOGETHER)).agg(F.collect_list(F.struct(F.col("number").cast("int").alias("n"), F.col("df").cast("int").alias("df"))).alias("t"))
+    parts = blocks * (blocks + 1)
 
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+    def near(key: tuple, pdf: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("title", kind="stable", ignore_index=True)
-        i, j = int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        names, block = pdf.title.to_numpy(), pdf.block.to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        held: list = []
-        if len(left) and len(right):
-            sizes = pdf.tags.map(len).to_numpy()
-            row, tag = np.repeat(np.arange(len(pdf)), sizes), np.concatenate(pdf.tags.to_numpy())
-            idf = 1 + np.log(titles / np.concatenate(pdf.dfs.to_numpy()))
-            w = idf / np.sqrt(np.bincount(row, idf * idf))[row]
-            bars = None
-            for low, c in _sums(row, tag, w, left, right):
-                some = left[low : low + len(c)]
-                held += [(some[a], right[b], v) for a, b, v in best(lambda lo, hi, c=c: c[lo:hi], some, right, top, 1e-6)]
-                if i < j:
-                    back = [(right[a], some[b], v) for a, b, v in best(lambda lo, hi, c=c: c.T[lo:hi], right, some, top, 1e-6, bars)]
-                    held += back
-                    bars = _last(back, right, top) if bars is None else bars
-                if sum(len(x[0]) for x in held) > CELLS:
-                    held = [_first(held, top)]
-        one, two, cosine = _first(held, top) if held else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        names, block, packed = pdf.title.to_numpy(), pdf.block.to_numpy(), pdf.tags.to_numpy()
+        i, j = key
+        number, at = np.unique(np.concatenate([np.zeros(0, np.int64), *of.n]), return_index=True)
+        idf = 1 + np.log(titles / np.concatenate([np.zeros(0, np.int64), *of["df"]])[at])
+        side = max(1, math.isqrt(CELLS))
+        left, right = ([rows[k : k + side] for k in range(0, len(rows), side)] for rows in (np.flatnonzero(block == i), np.flatnonzero(block == j)))
+        found: dict[int, tuple] = {}
+        ready: dict[int, tuple] = {}
+
+        def weighted(rows: np.ndarray) -> tuple:
+            """A tile's tags, unpacked once as long as SLAB of them are held."""
+            got = ready.get(rows[0]) or _weighted(packed[rows], number, idf)
+            if sum(len(t[0]) for t in ready.values()) + len(got[0]) <= SLAB:
+                ready[rows[0]] = got
+            return got
+
+        def keep(rows: np.ndarray, others: np.ndarray, c: np.ndarray) -> None:
+            old = found.get(rows[0])
+            bars = None if old is None else _last(old, rows, top)
+            new = [(rows[a], others[b], v) for a, b, v in best(lambda lo, hi: c[lo:hi], rows, others, top, 1e-6, bars)]
+            found[rows[0]] = _first(new if old is None else [old, *new], top)
+
+        for k, ys in enumerate(right):
+            y = weighted(ys)
+            for xs in left if i < j else left[: k + 1]:
+                c = _products(weighted(xs), y, len(xs), len(ys))
+                keep(xs, ys, c)
+                if xs[0] != ys[0]:
+                    keep(ys, xs, np.ascontiguousarray(c.T))
+        one, two, cosine = (np.concatenate(c) for c in zip((np.zeros(0, int), np.zeros(0, int), np.zeros(0)), *found.values(), strict=True))
         return pd.DataFrame({"title": names[one], "other": names[two], "cosine": cosine})
 
     kind = tagged.schema["title"].dataType.simpleString()
-    scored = sent.groupBy("i", "j").applyInPandas(near, f"title {kind}, other {kind}, cosine double")
+    sent = paired(dealt, blocks).repartition(parts, "i", "j").groupBy("i", "j")
+    along = products.paired(known.select("block", F.col("t.n").alias("n"), F.col("t.df").alias("df")), blocks).repartition(parts, "i", "j").groupBy("i", "j")
+    scored = sent.cogroup(along).applyInPandas(near, f"title {kind}, other {kind}, cosine double")
     own = distinct.select("title", F.col("title").alias("other"), F.lit(1.0).alias("cosine"))
     others = top_per_group(scored.unionByName(own), ["title"], [F.desc("cosine"), F.asc("other")], top + 1).drop("place")
     each = others.join(distinct.select(F.col("title").alias("other"), "titles"), "other").select("title", F.explode("titles").alias("other"), "cosine")
     lists = top_per_group(each, ["title"], [F.desc("cosine"), F.asc("other")], top + 1).groupBy("title").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("minus"), "other"))).alias("best"))  # top + 1 at most
-    answers = lists.join(distinct.select("title", "titles"), "title").join(firsts.select("same", F.get("titles", F.lit(0)).alias("title")), "title").select("same", "best")
+    answers = lists.join(distinct.select("title", "same"), "title").select("same", "best")
     rest = F.slice(F.filter("best", lambda x: x["other"] != F.col("title")), 1, top)
     found = sets.select("title", "same").join(answers, "same").select("title", F.posexplode(rest).alias("i", "x"))
     return found.select("title", "x.other", (-F.col("x.minus")).alias("cosine"), (F.col("i") + 1).cast("long").alias("place"))
@@ -144,66 +165,62 @@ def _first(held: list, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return one[by], two[by], cosine[by]
 
 
-def _last(held: list, rows: np.ndarray, top: int) -> np.ndarray:
-    """The top-th cosine of each of rows, which ascend; 0 for one that has fewer."""
-    one, _, cosine = _first(held, top)
-    at = np.searchsorted(rows, one)
+def _last(held: tuple, rows: np.ndarray, top: int) -> np.ndarray:
+    """The top-th cosine of each of rows, which ascend; 0 for one that has fewer. held: the first top of each."""
+    at = np.searchsorted(rows, held[0])
     out = np.full(len(rows), np.inf)
-    np.minimum.at(out, at, cosine)
+    np.minimum.at(out, at, held[2])
     return np.where(np.bincount(at, minlength=len(rows)) == top, out, 0.0)
 
 
-def _sums(row: np.ndarray, tag: np.ndarray, w: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Strips of the sums of products over shared tags, for rows left against rows right, with the number of their first row.
+def _weighted(packed: np.ndarray, number: np.ndarray, idf: np.ndarray) -> tuple:
+    """row, place in number, weight of each tag of packed sets, and how many sets have each of number."""
+    tag, sizes = unpack(packed)
+    row, at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.searchsorted(number, tag).astype(np.int32)
+    w = idf[at]
+    return row, at, w / np.sqrt(np.bincount(row, w * w))[row], np.bincount(at, minlength=len(number))
+
 
-    Tags on many of both sides are columns of dense matrices, SLAB numbers at a time; the pairs of the others are added one by
-    one, CELLS at a time. row ascends; left and right ascend.
+def _products(x: tuple, y: tuple, high: int, wide: int) -> np.ndarray:
+    """The sums of products over shared tags, for all rows of x against all of y.
+
+    Tags on many of both are columns of dense matrices, SLAB numbers at a time; the pairs of the others are added one by
+    one, CELLS at a time.
     """
-    at = np.unique(tag, return_inverse=True)[1]
-    sides = []
-    for some in (left, right):
-        place = np.searchsorted(some, row)
-        inside = np.flatnonzero(some[np.minimum(place, len(some) - 1)] == row)
-        sides.append((place[inside], at[inside], w[inside]))
-    counts = [np.bincount(side[1], minlength=at.max() + 1).astype(np.float64) for side in sides]
-    hot = counts[0] * counts[1] * SPARSE >= len(left) * len(right)
+    both = x[3] * y[3]
+    hot = both * SPARSE >= high * wide
     column, hots = np.cumsum(hot) - 1, int(hot.sum())
-    (x_row, x_at, x_w), (y_row, y_at, y_w) = [[c[hot[side[1]]] for c in side] for side in sides]
-    (l_row, l_at, l_w), (r_row, r_at, r_w) = [[c[~hot[side[1]]] for c in side] for side in sides]
-    order = np.argsort(r_at, kind="stable")
-    r_row, r_at, r_w = r_row[order], r_at[order], r_w[order]
-    x_at, y_at = column[x_at], column[y_at]
-    width = max(1, SLAB // len(right))
-
-    def dense(rows: np.ndarray, ats: np.ndarray, values: np.ndarray, n: int, slab: int) -> np.ndarray:
-        out = np.zeros((n, min(width, hots - slab)))
-        inside = (ats >= slab) & (ats < slab + width)
-        out[rows[inside], ats[inside] - slab] = values[inside]
-        return out
-
-    whole = dense(y_row, y_at, y_w, len(right), 0) if hots <= width else None
-    step = max(1, CELLS // len(right))
-    for low in range(0, len(left), step):
-        high = min(low + step, len(left))
-        c = np.zeros((high - low, len(right)))
-        a, b = np.searchsorted(x_row, (low, high))
-        for slab in range(0, hots, width):
-            y = whole if whole is not None else dense(y_row, y_at, y_w, len(right), slab)
-            c += dense(x_row[a:b] - low, x_at[a:b], x_w[a:b], high - low, slab) @ y.T
-        a, b = np.searchsorted(l_row, (low, high))
-        first = np.searchsorted(r_at, l_at[a:b], "left")
-        met = np.searchsorted(r_at, l_at[a:b], "right") - first
-        ends = np.cumsum(met)
-        done = 0
-        while done < b - a and ends[-1]:
+    step = max(1, SLAB // max(high, wide))
+    c = np.zeros((high, wide)) if hots == 0 else None
+    for low in range(0, hots, step):
+        a, b = (_dense(side, n, hot, column, low, min(low + step, hots)) for side, n in ((x, high), (y, wide)))
+        c = a @ b.T if c is None else c + a @ b.T
+    cold = (both > 0) & ~hot
+    if cold.any():
+        (l_row, l_at, l_w), (r_row, r_at, r_w) = [[v[cold[side[1]]] for v in side[:3]] for side in (x, y)]
+        order = np.argsort(r_at, kind="stable")
+        r_row, r_at, r_w = r_row[order], r_at[order], r_w[order]
+        first = np.searchsorted(r_at, l_at, "left")
+        met = np.searchsorted(r_at, l_at, "right") - first
+        ends, done = np.cumsum(met), 0
+        while done < len(met):
             upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CELLS, "right")))
             n = met[done:upto]
             mine = np.repeat(np.arange(done, upto), n)
             other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[mine]
-            cell = (l_row[a + mine] - low) * len(right) + r_row[other]
-            c += np.bincount(cell, l_w[a + mine] * r_w[other], c.size).reshape(c.shape)
+            c += np.bincount(l_row[mine].astype(np.int64) * wide + r_row[other], l_w[mine] * r_w[other], c.size).reshape(c.shape)
             done = upto
-        yield low, c
+    return c
+
+
+def _dense(side: tuple, n: int, hot: np.ndarray, column: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The weights of n rows on the hot tags of columns low to high."""
+    row, at, w, _ = side
+    to = np.where(hot, column, -1)[at]
+    inside = (to >= low) & (to < high)
+    out = np.zeros((n, high - low))
+    out[row[inside], to[inside] - low] = w[inside]
+    return out
 
 
 def overrepresented(list_tags: DataFrame, tagged: DataFrame, least_in_list: int = 3, least_lift: float = 3.0, top: int = 20) -> DataFrame:

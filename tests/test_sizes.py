@@ -166,3 +166,42 @@ def test_known_bars_are_not_looked_for_again(monkeypatch):
     want = run()
     monkeypatch.setattr(products.np, "partition", None)
     assert run(bars=np.sort(c, axis=1)[:, -9]) == want
+
+
+def test_packed_sets(spark, monkeypatch):
+    """Gaps of each width and maps of bits come back as they were; pieces of a set, repeats and a null key are merged."""
+    from affinia.operators import packed
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, most, n)) for most, n in ((40, 30), (1600, 600), (1 << 31, 5), (1 << 20, 3), (1, 1), (129, 1), (300, 290)) for _ in range(9)]
+    order = rng.permutation(len(sets))
+    sets = [sets[k] for k in order]
+    sizes = np.array([len(s) for s in sets])
+    numbers, back = packed.unpack(packed.pack(np.concatenate(sets), np.cumsum(sizes) - sizes))
+    assert (numbers == np.concatenate(sets)).all() and (back == sizes).all()
+    assert [len(x) for x in packed.unpack([])] == [0, 0] and packed.pack(numbers[:0], numbers[:0]) == []
+    monkeypatch.setattr(packed, "ROWS", 50)
+    pairs = [(None if k == 7 else f"k{k}", int(n)) for k, some in enumerate(sets) for n in some[some < 1 << 20]]
+    table = spark.createDataFrame([*pairs, *pairs[::3]], "key string, n int").repartition(3)
+    made = packed.gathered(table, "key", "n", "set")
+    have = {r.key: packed.unpack([bytes(r.set)])[0].tolist() for r in made.collect()}
+    assert have == {key: sorted(n for k, n in pairs if k == key) for key in {k for k, _ in pairs}}
+    counted = {(r.number, r["count"]) for r in packed.counted(made.select(F.lit(0).alias("all"), "set"), "all", "set").collect()}
+    assert counted == {(n, sum(n == m for _, m in pairs)) for n in {n for _, n in pairs}}
+
+
+def test_nearest_titles_send_packed_sets(spark, monkeypatch):
+    """A set of half of all tags is a few bits for each tag in every copy; repeated pairs count once."""
+    sent, real = [], tags.paired
+    monkeypatch.setattr(tags, "paired", lambda rows, blocks: sent.append(rows.collect()) or real(rows, blocks))
+    rng = np.random.default_rng(13)
+    x = rng.random((60, 300)) < 0.5
+    pairs = [(k, f"tag{n}") for k, n in np.argwhere(x).tolist()]
+    w = x * (1 + np.log(60 / x.sum(axis=0)))
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    cos = np.round(w @ w.T, 6)
+    want = {(a, b, float(-c), k + 1) for a in range(60) for k, (c, b) in enumerate(sorted((-cos[a, b], b) for b in range(60) if b != a)[:5])}
+    tagged = spark.createDataFrame([*pairs, *pairs[::2]], "title long, tag string")
+    assert {tuple(r) for r in tags.nearest_titles(tagged, top=5, per_block=25).collect()} == want
+    size = lambda v: len(v) if isinstance(v, (bytes, bytearray)) else 4 * len(v) if isinstance(v, list) else 8
+    assert sum(size(v) for row in sent[0] for v in row) <= 60 * (300 / 8 + 24)
