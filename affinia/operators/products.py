@@ -18,12 +18,13 @@ def paired(rows: DataFrame, blocks: int) -> DataFrame:
     return grid.withColumn("i", F.least("block", "o")).withColumn("j", F.greatest("block", "o")).drop("o")
 
 
-def best(products: Callable[[int, int], np.ndarray], ids: np.ndarray, others: np.ndarray, top: int, least: float, bars: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def best(products: Callable[[int, int], np.ndarray], ids: np.ndarray, others: np.ndarray, top: int, least: float, bars: np.ndarray | None = None, slack: float = 0.0, exact: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places in ids, places in others, products: the top others of each id, rounded to six digits, of least or more.
 
     products(low, high) has a row for each of ids[low:high] and a column for each of others, which ascend, so that
     the first of equal ones stay. A row never meets its own id. bars, if given, are a known least cosine for each
-    row's answer, which then isn't looked for here.
+    row's answer, which then isn't looked for here. Where products are near ones only, off by slack of a bar at most,
+    exact(rows, columns) gives those that may be in an answer.
     """
     wide = len(others)
     step = max(1, CELLS // max(wide, 1))
@@ -39,8 +40,9 @@ def best(products: Callable[[int, int], np.ndarray], ids: np.ndarray, others: np
         elif wide > top:
             head = c[:, : max(HEAD, top)]
             bar = np.maximum(bar, np.partition(head, head.shape[1] - top, axis=1)[:, head.shape[1] - top] - 1e-6)
+        bar = bar if exact is None else (bar * (1 - slack)).astype(c.dtype)
         i, j = np.nonzero(c >= bar[:, None])
-        v = np.round(c[i, j], 6)
+        v = np.round(c[i, j] if exact is None else exact(i + low, j), 6)
         i, j, v = i[v >= least], j[v >= least], v[v >= least]
         order = np.lexsort((j, -v, i))
         i, j, v = i[order], j[order], v[order]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ Z = 2.0
 BLOCK, BLOCKS, ENTRIES = 4096, 16, 1 << 26
 #: Pairs or sums that a task holds at once, numbers of a dense matrix, and cells for each pair below which a tag is summed as one.
 CELLS, SLAB, SPARSE = 1 << 22, 1 << 24, 100
-#: Tags that travel with a block in one row.
-TOGETHER = 4096
+#: Tags that travel with a block in one row; a share of cells beyond which all their exact sums are made at once.
+TOGETHER, MANY = 4096, 16
 
 
 def frequencies(tagged: DataFrame) -> DataFrame:
@@ -126,19 +127,19 @@ def nearest_titles(tagged: DataFrame, top: int = 12, max_df: int | None = None,
                 ready[rows[0]] = got
             return got
 
-        def keep(rows: np.ndarray, others: np.ndarray, c: np.ndarray) -> None:
+        def keep(rows: np.ndarray, others: np.ndarray, c: np.ndarray, slack: float, exact: Callable | None) -> None:
             old = found.get(rows[0])
             bars = None if old is None else _last(old, rows, top)
-            new = [(rows[a], others[b], v) for a, b, v in best(lambda lo, hi: c[lo:hi], rows, others, top, 1e-6, bars)]
+            new = [(rows[a], others[b], v) for a, b, v in best(lambda lo, hi: c[lo:hi], rows, others, top, 1e-6, bars, slack, exact)]
             found[rows[0]] = _first(new if old is None else [old, *new], top)
 
         for k, ys in enumerate(right):
             y = weighted(ys)
             for xs in left if i < j else left[: k + 1]:
-                c = _products(weighted(xs), y, len(xs), len(ys))
-                keep(xs, ys, c)
+                c, slack, exact = _products(weighted(xs), y, idf)
+                keep(xs, ys, c, slack, exact)
                 if xs[0] != ys[0]:
-                    keep(ys, xs, np.ascontiguousarray(c.T))
+                    keep(ys, xs, c.T if ys[0] in found else np.ascontiguousarray(c.T), slack, exact and (lambda a, b, exact=exact: exact(b, a)))
         one, two, cosine = (np.concatenate(c) for c in zip((np.zeros(0, int), np.zeros(0, int), np.zeros(0)), *found.values(), strict=True))
         return pd.DataFrame({"title": names[one], "other": names[two], "cosine": cosine})
 
@@ -174,52 +175,87 @@ def _last(held: tuple, rows: np.ndarray, top: int) -> np.ndarray:
 
 
 def _weighted(packed: np.ndarray, number: np.ndarray, idf: np.ndarray) -> tuple:
-    """row, place in number, weight of each tag of packed sets, and how many sets have each of number."""
+    """row, place in number, weight of each tag of packed sets; how many sets have each of number; the norms."""
     tag, sizes = unpack(packed)
     row, at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.searchsorted(number, tag).astype(np.int32)
     w = idf[at]
-    return row, at, w / np.sqrt(np.bincount(row, w * w))[row], np.bincount(at, minlength=len(number))
+    norm = np.sqrt(np.bincount(row, w * w))
+    return row, at, w / norm[row], np.bincount(at, minlength=len(number)), norm
 
 
-def _products(x: tuple, y: tuple, high: int, wide: int) -> np.ndarray:
+def _products(x: tuple, y: tuple, idf: np.ndarray) -> tuple[np.ndarray, float, Callable | None]:
     """The sums of products over shared tags, for all rows of x against all of y.
 
     Tags on many of both are columns of dense matrices, SLAB numbers at a time; the pairs of the others are added one by
-    one, CELLS at a time.
+    one, CELLS at a time. If one pair of matrices is enough, it is of single precision: then come what a sum can be off
+    by, as a share of it (no product is negative), and a function that gives exact sums for rows and columns.
     """
+    high, wide = len(x[4]), len(y[4])
     both = x[3] * y[3]
     hot = both * SPARSE >= high * wide
     column, hots = np.cumsum(hot) - 1, int(hot.sum())
+    more = _single(x, y, (both > 0) & ~hot) if ((both > 0) & ~hot).any() else None
     step = max(1, SLAB // max(high, wide))
-    c = np.zeros((high, wide)) if hots == 0 else None
-    for low in range(0, hots, step):
-        a, b = (_dense(side, n, hot, column, low, min(low + step, hots)) for side, n in ((x, high), (y, wide)))
-        c = a @ b.T if c is None else c + a @ b.T
-    cold = (both > 0) & ~hot
-    if cold.any():
-        (l_row, l_at, l_w), (r_row, r_at, r_w) = [[v[cold[side[1]]] for v in side[:3]] for side in (x, y)]
-        order = np.argsort(r_at, kind="stable")
-        r_row, r_at, r_w = r_row[order], r_at[order], r_w[order]
-        first = np.searchsorted(r_at, l_at, "left")
-        met = np.searchsorted(r_at, l_at, "right") - first
-        ends, done = np.cumsum(met), 0
-        while done < len(met):
-            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CELLS, "right")))
-            n = met[done:upto]
-            mine = np.repeat(np.arange(done, upto), n)
-            other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[mine]
-            c += np.bincount(l_row[mine].astype(np.int64) * wide + r_row[other], l_w[mine] * r_w[other], c.size).reshape(c.shape)
-            done = upto
+    if hots == 0:
+        return (np.zeros((high, wide)) if more is None else more), 0.0, None
+    if hots > step:
+        c = np.zeros((high, wide)) if more is None else more
+        for low in range(0, hots, step):
+            a, b = (_dense(side, hot, column, low, min(low + step, hots), np.float64) for side in (x, y))
+            c += a @ b.T
+        return c, 0.0, None
+    a, b = (_dense(side, hot, column, 0, hots, np.float32) for side in (x, y))
+    c = a @ b.T
+    if more is not None:
+        c += more.astype(np.float32)
+    in_x, in_y = a > 0, b > 0
+    squares, whole = idf[hot] ** 2, []
+
+    def exact(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        if len(rows) * MANY > high * wide and not whole:
+            whole.append((in_x * squares) @ in_y.T.astype(np.float64))
+        if whole:
+            sums = whole[0][rows, columns]
+        else:
+            sums = np.empty(len(rows))
+            n = max(1, (CELLS >> 3) // hots)
+            for k in range(0, len(rows), n):
+                sums[k : k + n] = (in_x[rows[k : k + n]] & in_y[columns[k : k + n]]).astype(np.float64) @ squares
+        sums /= x[4][rows] * y[4][columns]
+        return sums if more is None else sums + more[rows, columns]
+
+    return c, 2 * (hots + 8) * 2.0**-24, exact
+
+
+def _single(x: tuple, y: tuple, cold: np.ndarray) -> np.ndarray:
+    """The sums over the tags that are cold, pair by pair."""
+    high, wide = len(x[4]), len(y[4])
+    (l_row, l_at, l_w), (r_row, r_at, r_w) = [[v[cold[side[1]]] for v in side[:3]] for side in (x, y)]
+    order = np.argsort(r_at, kind="stable")
+    r_row, r_at, r_w = r_row[order], r_at[order], r_w[order]
+    first = np.searchsorted(r_at, l_at, "left")
+    met = np.searchsorted(r_at, l_at, "right") - first
+    ends, done = np.cumsum(met), 0
+    c = np.zeros((high, wide))
+    while done < len(met):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CELLS, "right")))
+        n = met[done:upto]
+        mine = np.repeat(np.arange(done, upto), n)
+        other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[mine]
+        c += np.bincount(l_row[mine].astype(np.int64) * wide + r_row[other], l_w[mine] * r_w[other], c.size).reshape(c.shape)
+        done = upto
     return c
 
 
-def _dense(side: tuple, n: int, hot: np.ndarray, column: np.ndarray, low: int, high: int) -> np.ndarray:
-    """The weights of n rows on the hot tags of columns low to high."""
-    row, at, w, _ = side
-    to = np.where(hot, column, -1)[at]
-    inside = (to >= low) & (to < high)
-    out = np.zeros((n, high - low))
-    out[row[inside], to[inside] - low] = w[inside]
+def _dense(side: tuple, hot: np.ndarray, column: np.ndarray, low: int, high: int, kind: type) -> np.ndarray:
+    """The weights of a side's rows on the hot tags of columns low to high."""
+    row, at, w = side[:3]
+    to = np.where(hot, column, -1)[at] - low
+    out = np.zeros((len(side[4]), high - low), kind)
+    if high - low < len(hot):
+        inside = (to >= 0) & (to < high - low)
+        row, to, w = row[inside], to[inside], w[inside]
+    out[row, to] = w
     return out
 
 

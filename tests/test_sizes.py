@@ -205,3 +205,21 @@ def test_nearest_titles_send_packed_sets(spark, monkeypatch):
     assert {tuple(r) for r in tags.nearest_titles(tagged, top=5, per_block=25).collect()} == want
     size = lambda v: len(v) if isinstance(v, (bytes, bytearray)) else 4 * len(v) if isinstance(v, list) else 8
     assert sum(size(v) for row in sent[0] for v in row) <= 60 * (300 / 8 + 24)
+
+
+def test_products_of_single_precision_give_exact_answers():
+    """Near products with a slack give the same best as plain ones in double precision, few or many of them exact."""
+    from affinia.operators import packed, products
+
+    rng = np.random.default_rng(17)
+    x = rng.random((80, 120)) < np.where(np.arange(120) < 90, 0.4, 0.02)
+    row, number = np.nonzero(x)
+    sets = np.array(packed.pack(number, np.searchsorted(row, np.arange(80))), dtype=object)
+    idf = 1 + np.log(80 / np.maximum(x.sum(axis=0), 1))
+    w = x * idf / np.linalg.norm(x * idf, axis=1, keepdims=True)
+    a, b = (tags._weighted(some, np.arange(120), idf) for some in (sets[:30], sets[30:]))
+    c, slack, exact = tags._products(a, b, idf)
+    assert c.dtype == np.float32 and 0 < slack < 1e-4
+    for top in (2, 50):
+        run = lambda m, **more: [v.tolist() for v in next(products.best(lambda low, high: m[low:high].copy(), np.arange(30), np.arange(30, 80), top, 1e-6, **more))]
+        assert run(c, slack=slack, exact=exact) == run(w[:30] @ w[30:].T)
